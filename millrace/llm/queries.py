@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, exact_dedup, packing, quality, simhash
+from millrace.llm import bpe, exact_dedup, html_text, packing, quality, sharding, simhash
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,10 +19,36 @@ def op2_bpe_prefix_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_documents(spark, sf_dir))
 
 
+def op4_extendible_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(_documents(spark, sf_dir))
+
+
+OP4_SQL = """
+with row as (
+  select doc_id, strlen(coalesce(text, ''))::bigint as n_bytes,
+         lpad(bin(('0x' || substr(md5(doc_id::varchar), 1, 15))::bigint), 60, '0') as bits
+  from documents
+), node as (
+  select doc_id, n_bytes, d::int as depth, substr(bits, 1, d) as shard,
+         sum(n_bytes) over (partition by d, substr(bits, 1, d))::bigint as shard_bytes,
+         count(*) over (partition by d, substr(bits, 1, d)) as shard_docs
+  from row, range(0, 61) r(d)
+)
+select doc_id, n_bytes, shard, depth, shard_bytes, shard_docs, shard_bytes > 1048576 as oversize
+from node
+where shard_bytes <= 1048576 or shard_docs = 1
+qualify row_number() over (partition by doc_id order by depth) = 1
+"""
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir))
 
 
+def op6_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op8_chunk_recipe_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(_documents(spark, sf_dir))
 
@@ -47,8 +73,13 @@ def op10_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_co_training": op1_co_training,
     "op2_bpe_prefix_tables": op2_bpe_prefix_tables,
+    "op4_extendible_hashing": op4_extendible_hashing,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_tree_scoring": op6_tree_scoring,
     "op8_chunk_recipe_dedup": op8_chunk_recipe_dedup,
     "op10_simhash_pivots": op10_simhash_pivots,
 }
-ORACLES = {"op8_chunk_recipe_dedup": OP8_SQL}
+ORACLES = {
+    "op4_extendible_hashing": OP4_SQL,
+    "op8_chunk_recipe_dedup": OP8_SQL,
+}
