@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, exact_dedup, html_text, packing, quality, sharding, simhash
+from millrace.llm import bpe, exact_dedup, html_text, line_dedup, packing, quality, sharding, simhash
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +66,38 @@ from t window w as (partition by norm order by n desc, doc_id rows between unbou
 """
 
 
+def op9_line_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.duplicates(_documents(spark, sf_dir))
+
+
+OP9_SQL = r"""
+with row as (
+  select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as raw,
+         unnest(range(len(string_split(coalesce(text, ''), chr(10)))))::int as line_no
+  from documents
+), line as (
+  select doc_id, line_no, trim(raw, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) as line from row
+), class as (
+  select line, min({'d': doc_id, 'l': line_no}) as first, count(*) as n, length(line) as m,
+         least(2, length(line) // 10) as t
+  from line where line != '' group by line
+), link as (
+  select a.line as x, a.first as fx, b.line as y, b.first as fy
+  from class a join class b on b.m between a.m and a.m + 2 and a.t >= 1 and a.line != b.line and (a.m < b.m or a.line < b.line)
+  where (contains(b.line, substr(a.line, 1, (a.m // 3)::bigint)) or contains(b.line, substr(a.line, (a.m // 3 + 1)::bigint, (a.m // 3)::bigint))
+         or contains(b.line, substr(a.line, (2 * (a.m // 3) + 1)::bigint, (a.m // 3)::bigint)))
+    and levenshtein(a.line, b.line) <= a.t
+), ends as (
+  select x, fx, fy from link union all select y, fy, fx from link
+), linked as (
+  select x, count(*) as n_links, bool_or(fy < fx) as late from ends group by x
+)
+select line.doc_id, line.line_no, first.d as class_id, first.l as class_line, coalesce(n, 0) as n_copies, coalesce(n_links, 0) as n_links,
+       line.line = '' or (not coalesce(late, false) and first.d = doc_id and first.l = line_no) as kept
+from line left join class on class.line = line.line left join linked on linked.x = line.line
+"""
+
+
 def op10_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf_dir))
 
@@ -77,9 +109,11 @@ QUERIES = {
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_tree_scoring": op6_tree_scoring,
     "op8_chunk_recipe_dedup": op8_chunk_recipe_dedup,
+    "op9_line_edit_join": op9_line_edit_join,
     "op10_simhash_pivots": op10_simhash_pivots,
 }
 ORACLES = {
     "op4_extendible_hashing": OP4_SQL,
     "op8_chunk_recipe_dedup": OP8_SQL,
+    "op9_line_edit_join": OP9_SQL,
 }
