@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, exact_dedup, html_text, line_dedup, packing, quality, sharding, simhash
+from millrace.llm import bpe, exact_dedup, html_text, license_scan, line_dedup, packing, quality, sharding, simhash, spotsigs
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op2_bpe_prefix_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_documents(spark, sf_dir))
 
 
+def op3_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.against_edits(_documents(spark, sf_dir))
+
+
 def op4_extendible_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(_documents(spark, sf_dir))
 
@@ -49,6 +53,10 @@ def op6_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op7_license_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_documents(spark, sf_dir))
+
+
 def op8_chunk_recipe_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(_documents(spark, sf_dir))
 
@@ -105,15 +113,18 @@ def op10_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_co_training": op1_co_training,
     "op2_bpe_prefix_tables": op2_bpe_prefix_tables,
+    "op3_spotsigs": op3_spotsigs,
     "op4_extendible_hashing": op4_extendible_hashing,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_tree_scoring": op6_tree_scoring,
+    "op7_license_windows": op7_license_windows,
     "op8_chunk_recipe_dedup": op8_chunk_recipe_dedup,
     "op9_line_edit_join": op9_line_edit_join,
     "op10_simhash_pivots": op10_simhash_pivots,
 }
 ORACLES = {
     "op4_extendible_hashing": OP4_SQL,
+    "op7_license_windows": license_scan.scan_sql(),
     "op8_chunk_recipe_dedup": OP8_SQL,
     "op9_line_edit_join": OP9_SQL,
 }
