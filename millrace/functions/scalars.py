@@ -148,8 +148,8 @@ def log_entry_bytes(topic: Column, data_bytes: Column) -> Column:
 def short_number(n: Column) -> Column:
     """999, 1.2K, 3.4M."""
     return (
-        F.when(n >= 1_000_000, F.concat(F.format_number(n / 1e6, "0.0"), F.lit("M")))
-        .when(n >= 1_000, F.concat(F.format_number(n / 1e3, "0.0"), F.lit("K")))
+        F.when(n >= 1_000_000, F.format_string("%.1fM", n / 1e6))
+        .when(n >= 1_000, F.format_string("%.1fK", n / 1e3))
         .otherwise(n.cast("string"))
     )
 
@@ -157,9 +157,9 @@ def short_number(n: Column) -> Column:
 def short_duration(ms: Column) -> Column:
     """850ms, 12.0s, 3.5m."""
     return (
-        F.when(ms < 1_000, F.concat(F.format_number(ms, "0"), F.lit("ms")))
-        .when(ms < 60_000, F.concat(F.format_number(ms / 1e3, "0.0"), F.lit("s")))
-        .otherwise(F.concat(F.format_number(ms / 6e4, "0.0"), F.lit("m")))
+        F.when(ms < 1_000, F.format_string("%.0fms", ms * 1.0))
+        .when(ms < 60_000, F.format_string("%.1fs", ms / 1e3))
+        .otherwise(F.format_string("%.1fm", ms / 6e4))
     )
 
 
