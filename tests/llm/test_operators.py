@@ -1,0 +1,445 @@
+"""The training-data operators on small fixtures, against brute force or by definition."""
+
+import hashlib
+import math
+import random
+import re
+import string
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+import xxhash
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from millrace.llm import bpe, common, exact_dedup, html_text, license_scan, line_dedup, packing, quality, sharding, simhash, spotsigs
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def words(rng, n):
+    return " ".join("".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 6))) for _ in range(n))
+
+
+def documents(spark, texts, schema=SCHEMA):
+    return spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], schema)
+
+
+#: Nulls, empty, white space, copies, one very long text, ties, no ASCII.
+HARD = [None, "", " \t\n", "same text here.", "same  text\nhere.", "same text here.", "word " * 30_000, "ß" * 5_000 + "😀" * 2_000, "a", "\x00 \x1c é", "the of and"]
+
+
+@pytest.fixture(scope="module")
+def hard(spark):
+    """The hard texts with null ids, repeated rows and columns whose names clash with inner ones."""
+    rows = [(i, t, None, None, None, 1, "x", "y") for i, t in enumerate(HARD)] + [(None, "same text here.", None, None, None, 1, "x", "y"), (3, "same text here.", "en", "s", 1, 2, "x", "y")]
+    return spark.createDataFrame(rows, SCHEMA + ", id int, t string, gone string")
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+# -- 2 and 5: tokens ------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def encoder():
+    return bpe.Encoder(public_tokenizers.path(bpe.VOCABULARY))
+
+
+@pytest.fixture(scope="module")
+def library(encoder):
+    return tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=encoder.vocabulary.ranks, special_tokens={})
+
+
+def test_bpe_equals_the_library(encoder, library):
+    rng = random.Random(1)
+    alphabet = " \t\n\x0b\x1c\x85\xa0　 abcAB'stre1٣½.,!é漢字😀́\x00"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 16))) for _ in range(3000)] + [t or "" for t in HARD]
+    for text in texts:
+        ids = encoder.encode(text)
+        assert list(np.frombuffer(ids, "<u4")) == library.encode_ordinary(text), text
+        assert encoder.decode(ids) == text.encode()
+
+
+def test_prefix_table_appends_and_edits(encoder):
+    rng = random.Random(2)
+    for _ in range(200):
+        data = bytes(rng.choice(b"the and ing") for _ in range(rng.randint(0, 20)))
+        more = bytes(rng.choice(b"the and ing") for _ in range(rng.randint(0, 9)))
+        table = bpe.PrefixTable(encoder.vocabulary, data)
+        table.append(more)
+        assert table.ids() == bpe.PrefixTable(encoder.vocabulary, data + more).ids()
+        assert [encoder.tokens[i] for i in table.ids()] == encoder.vocabulary.merged(data + more)
+        a, b = sorted(rng.randint(0, len(data)) for _ in range(2))
+        table.edit(a, b, b"xyz")
+        assert table.ids() == bpe.PrefixTable(encoder.vocabulary, data[:a] + b"xyz" + (data + more)[b:]).ids()
+
+
+def test_bpe_rows(spark, hard, empty, library):
+    found = bpe.round_trip(hard).collect()
+    assert len(found) == len(HARD) + 2
+    for r in found:
+        text = "same text here." if r["doc_id"] is None else HARD[r["doc_id"]] or ""
+        ids = np.array(library.encode_ordinary(text), "<u4")
+        assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest())
+        assert r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+    assert bpe.round_trip(empty).count() == 0
+
+
+def test_moves_fill_sequences():
+    rng = random.Random(3)
+    for capacity in (1, 10, 64, 1024):
+        for _ in range(20):
+            counts = {rng.randint(1, capacity): rng.randint(1, 50) for _ in range(rng.randint(1, capacity))}
+            got, sequences = {}, {}
+            for length, first, end, sequence, each, offset in packing.moves(counts, capacity):
+                got[length] = got.get(length, 0) + end - first
+                for r in range(end - first):
+                    sequences.setdefault(sequence + r // each, []).append((offset + r % each * length, length))
+            assert got == counts
+            for parts in sequences.values():
+                at = 0
+                for offset, length in sorted(parts):
+                    assert offset == at
+                    at += length
+                assert at <= capacity
+
+
+def test_packing(spark, hard, empty):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    found = packing.pack(hard).collect()
+    by_doc, by_sequence = {}, {}
+    for r in found:
+        by_doc.setdefault(r["doc_id"], []).append(r)
+        by_sequence.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for i, text in enumerate(HARD):
+        ids = np.array(tokenizer.encode(text or "", add_special_tokens=False).ids + [2], "<u4")
+        rows = sorted(by_doc[i], key=lambda r: (r["piece"], r["sequence_id"]))
+        if i == 3:  # the repeated row
+            assert len(rows) == 2
+            rows = rows[:1]
+        assert [r["piece"] for r in rows] == list(range(len(rows)))
+        assert sum(r["length"] for r in rows) == len(ids) and all(r["length"] == 1024 for r in rows[1:])
+        for r in rows:
+            assert r["ids_crc32"] == zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes())
+    for parts in by_sequence.values():
+        assert [o for o, _ in sorted(parts)] == list(np.cumsum([0] + [n for _, n in sorted(parts)][:-1]))
+        assert sum(n for _, n in parts) <= 1024
+    total = sum(r["length"] for r in found)
+    assert len(by_sequence) <= math.ceil(total / 1024) + 1
+    assert packing.pack(empty).count() == 0
+
+
+# -- 8, 10: copies --------------------------------------------------------------------------------------
+
+
+def test_exact_groups(spark, hard, empty):
+    norm = [re.sub(r"[\x20\x09-\x0D]", "", t or "") for t in HARD]
+    for how in ({}, {"hash_of": lambda c: F.length(c).cast("long") % 3, "least": 4, "most": 9}):
+        found = [r for r in exact_dedup.groups(hard, **how).collect()]
+        assert len(found) == len(HARD) + 2
+        for r in found:
+            if r["doc_id"] is None or r["doc_id"] == 3:
+                continue
+            i = r["doc_id"]
+            same = [k for k in range(len(HARD)) if norm[k] == norm[i]]
+            extra = 2 if norm[i] == norm[3] else 0
+            keep = max(same, key=lambda k: (len(HARD[k] or ""), -k))
+            assert (r["keep_id"], r["group_size"], r["kept"]) == (keep, len(same) + extra, keep == i)
+            assert r["text_sha256"] == hashlib.sha256(norm[i].encode()).hexdigest()
+    assert exact_dedup.groups(empty).count() == 0
+    kept = exact_dedup.drop_copies(hard)
+    assert kept.columns == hard.columns
+    assert sorted(r["doc_id"] for r in kept.where("doc_id is not null").collect()) == [2, 4, 6, 7, 8, 9, 10]
+
+
+def simhash_by_hand(text, each=4):
+    lower = (text or "").translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase))
+    w = re.findall(r"[^\x20\x09-\x0D]+", lower)
+    shingles = [" ".join(w[i : i + each]) for i in range(max(1, len(w) - each + 1))] if w else []
+    counts = [0] * 64
+    for s in shingles:
+        h = xxhash.xxh64_intdigest(s.encode(), seed=42)
+        for b in range(64):
+            counts[b] += h >> b & 1
+    return sum(1 << b for b in range(64) if 2 * counts[b] > len(shingles))
+
+
+def test_simhash_components(spark, hard, empty):
+    rng = random.Random(4)
+    base = [words(rng, 60) for _ in range(25)]
+    texts = [t for b in base for t in (b, b + " " + words(rng, 1), words(rng, 1) + " " + b)] + [t for t in HARD if t != HARD[6]]
+    fps = [simhash_by_hand(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if bin(fps[a] ^ fps[b]).count("1") <= 4:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    found = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in simhash.near_duplicates(documents(spark, texts)).collect()}
+    assert found == {i: (format(fps[i], "016x"), find(i)) for i in range(len(texts))}
+    assert simhash.near_duplicates(empty).count() == 0
+    assert simhash.near_duplicates(hard).count() == len(HARD) + 2
+    assert simhash.keep_one(hard).columns == hard.columns
+
+
+def test_links_in_a_dense_ball(spark):
+    """A key with many fingerprints: connected as brute force connects them, by fewer links than pairs."""
+    rng = random.Random(5)
+    fps = {rng.getrandbits(64) for _ in range(50)}
+    for _ in range(600):
+        fps.add(0xABCDEF0123456789 ^ (1 << rng.randrange(40)) ^ (1 << rng.randrange(40)) ^ (1 << rng.randrange(40)))
+    signed = sorted(f - (1 << 64) if f >> 63 else f for f in fps)
+    rows = spark.createDataFrame([(f, i) for i, f in enumerate(signed)], "fp long, id long")
+    found = simhash.links(rows)
+    got = {r["node"]: r["root"] for r in common.components(found).collect()}
+    root = list(range(len(signed)))
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    pairs = 0
+    for a in range(len(signed)):
+        for b in range(a):
+            if bin((signed[a] ^ signed[b]) & (1 << 64) - 1).count("1") <= 4:
+                pairs += 1
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    assert [got.get(i, i) for i in range(len(signed))] == [find(i) for i in range(len(signed))]
+    assert found.count() < pairs / 2
+
+
+def test_segment_keys_lose_no_pair():
+    rng = random.Random(6)
+    for n in (10, 10**7, 10**9):
+        keys = simhash.segment_keys(n, 4)
+        for _ in range(300):
+            flipped = set(rng.sample(range(64), 4))
+            assert any(not flipped & set(k) for k in keys)
+
+
+def test_components_on_paths_and_stars(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (None, 3)]
+    found = {r["node"]: r["root"] for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert found == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(30)}}
+    assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# -- 3, 7, 9 --------------------------------------------------------------------------------------------
+
+
+def test_spotsigs(spark, hard, empty):
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice(["the", "of", "und", "la"]) + " " + words(rng, 3) for _ in range(n)) for n in (1, 5, 40, 80)] + ["", "the of", "!!"]
+    found = {r["doc_id"]: r for r in spotsigs.against_edits(documents(spark, texts)).collect()}
+    for i, text in enumerate(texts):
+        after, q, r = texts[(i + 1) % len(texts)], len(text) // 4, found[i]
+        edited = text[: len(text) - q] + after[:q]
+        assert (r["n_chars"], r["edited_sha256"]) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
+        assert (r["near_edited"] == 1) == (r["fingerprint"] == r["edited_fingerprint"])
+        assert r["near_next"] == (1 if r["fingerprint"] == found[(i + 1) % len(texts)]["fingerprint"] else r["near_next"])
+    assert found[3]["near_edited"] > 0.4 and found[3]["near_next"] < 0.1
+    rows = spotsigs.against_edits(hard).collect()
+    assert len(rows) == len(HARD) + 2 and sum(r["near_next"] is None for r in rows) == 1
+    assert spotsigs.against_edits(empty).count() == 0
+
+
+def test_spotsigs_chains(spark):
+    row = spark.createDataFrame([("The cat, of the big red dog and",)], "t string")
+    hashed = row.select(F.array_sort(F.array(*(F.hash(F.lit(x)) for x in ("cat ~big red", "big red dog")))).alias("want"), spotsigs.signatures(F.col("t")).alias("got")).first()
+    assert hashed["want"] == hashed["got"]
+
+
+def test_spotsigs_join(spark):
+    rng = random.Random(8)
+    base = [" ".join("the " + words(rng, 3) for _ in range(30)) for _ in range(12)]
+    texts = base + [b + " the one more end" for b in base] + base[:3] + [words(rng, 50)]
+    docs = documents(spark, texts)
+    sets = {r["doc_id"]: set(r["s"]) for r in docs.select("doc_id", spotsigs.signatures(F.col("text")).alias("s")).collect()}
+    first = {}
+    for i in sorted(sets):
+        first.setdefault(frozenset(sets[i]), i)
+    members, pairs = spotsigs.near_pairs(docs)
+    assert {r["id"]: r["class_id"] for r in members.collect()} == {i: first[frozenset(s)] for i, s in sets.items()}
+    reps = sorted(first.values())
+    want = {(a, b) for a in reps for b in reps if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8}
+    assert {(r["a"], r["b"]) for r in pairs.collect()} == want and want
+
+
+def test_license_scan(spark, hard, empty):
+    rng = random.Random(9)
+    mit = license_scan.TEMPLATES[2][1]
+    cut = mit.split(" ")
+    near = " ".join(cut[:20] + ["really"] + cut[20:])
+    texts = [words(rng, 40) + " " + mit + " " + words(rng, 9), near.upper(), words(rng, 7) + "\nReleased  under the MIT License.", "license of no kind", " ".join(cut[:20]), None]
+    found = license_scan.scan(documents(spark, texts)).collect()
+    assert {(r["doc_id"], r["template"]) for r in found} == {(0, 2), (1, 2), (2, 0)}
+    assert all(r["containment"] >= 0.8 for r in found)
+    assert license_scan.scan(hard).count() == license_scan.scan(empty).count() == 0
+    assert license_scan.scan(documents(spark, texts), texts=()).count() == 0
+    for t in license_scan.templates():
+        n, rows = license_scan.bands(len(t.words), t.window)
+        size, shared = max(1, len(t.words) - 4), math.ceil(0.8 * max(1, len(t.words) - 4))
+        jaccard = shared / (size + max(1, t.window - 4) - shared)
+        assert (1 - min(1, jaccard) ** rows) ** n <= 1e-9
+    hits = license_scan.hitting_words(license_scan.templates())
+    assert all(set(s.split(" ")) & set(hits) for t in license_scan.templates() for s in t.shingles)
+
+
+def edited(rng, line, n):
+    out = list(line)
+    for _ in range(n):
+        k, how = rng.randint(0, len(out)), rng.random()
+        if how < 0.34:
+            out.insert(k, rng.choice("abcé😀"))
+        elif out:
+            k = min(k, len(out) - 1)
+            out[k : k + 1] = [] if how < 0.67 else [rng.choice("abcé😀")]
+    return "".join(out)
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_banded_distance(spark):
+    rng = random.Random(10)
+    pairs = []
+    for _ in range(800):
+        a = "".join(rng.choice("abcé😀") for _ in range(rng.randint(0, 14)))
+        pairs.append(tuple(sorted((a, edited(rng, a, rng.randint(0, 4))), key=len)))
+    rows = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, short string, long string")
+    for r in line_dedup.within(rows, 2).collect():
+        d = distance(*pairs[r["i"]])
+        assert r["distance"] == (d if d <= 2 else None), pairs[r["i"]]
+
+
+def test_line_classes_and_links(spark, hard, empty):
+    rng = random.Random(11)
+    base = ["".join(rng.choice("abcdefé ") for _ in range(rng.randint(3, 60))).strip() or "x" for _ in range(30)]
+    texts = ["\n".join(rng.choice([b, b, edited(rng, b, 1), edited(rng, b, 2), edited(rng, b, 3), ""]) for b in rng.sample(base, 8)) for _ in range(12)]
+    lines = [(i, k, line.strip(" ")) for i, t in enumerate(texts) for k, line in enumerate(t.split("\n"))]
+    first = {}
+    for i, k, line in lines:
+        first.setdefault(line, (i, k))
+
+    def linked(a, b):
+        t = min(2, min(len(a), len(b)) // 10)
+        return a != b and abs(len(a) - len(b)) <= t and distance(a, b) <= t
+
+    near = {a: [b for b in first if b and linked(a, b)] for a in first if a}
+    found = {(r["doc_id"], r["line_no"]): r for r in line_dedup.duplicates(documents(spark, texts)).collect()}
+    assert len(found) == len(lines)
+    for i, k, line in lines:
+        r = found[i, k]
+        if not line:
+            assert (r["class_id"], r["n_links"], r["kept"]) == (None, 0, True)
+            continue
+        assert (r["class_id"], r["class_line"]) == first[line]
+        assert r["n_copies"] == sum(x == line for _, _, x in lines) and r["n_links"] == len(near[line])
+        assert r["kept"] == (first[line] == (i, k) and all(first[b] > first[line] for b in near[line]))
+    assert any(near.values())
+    assert line_dedup.duplicates(hard).count() == sum((t or "").count("\n") + 1 for t in HARD) + 2
+    assert line_dedup.duplicates(empty).count() == 0
+
+
+# -- 1, 4, 6 --------------------------------------------------------------------------------------------
+
+
+def test_sharding(spark, hard, empty):
+    rng = random.Random(12)
+    texts = ["x" * rng.randint(0, 90) for _ in range(300)] + ["y" * 500, None, ""]
+    found = sharding.shards(documents(spark, texts), limit=400).collect()
+    sizes = {}
+    for r in found:
+        assert r["n_bytes"] == len(texts[r["doc_id"]] or "")
+        sizes.setdefault(r["shard"], []).append(r["n_bytes"])
+    for r in found:
+        assert r["shard_bytes"] == sum(sizes[r["shard"]]) and r["shard_docs"] == len(sizes[r["shard"]]) and r["depth"] == len(r["shard"])
+        assert r["shard_bytes"] <= 400 or r["oversize"] and r["shard_docs"] == 1
+    for s in sizes:  # only oversized buckets split: a shard's parent does not fit
+        assert not s or sum(sum(v) for k, v in sizes.items() if k.startswith(s[:-1])) > 400
+        assert not any(k != s and k.startswith(s) for k in sizes)
+    slots = sharding.directory(sharding.shards(documents(spark, texts), limit=400)).agg(F.sum("slots"), F.max("depth")).first()
+    assert 0.9 * 2 ** slots[1] < slots[0] <= 2 ** slots[1]  # what is missing points to empty shards
+    assert sharding.shards(hard, limit=10).count() == len(HARD) + 2
+    same = spark.createDataFrame([(7, "x" * 30)] * 50, "doc_id long, text string")  # one id for all
+    assert max(r["shard_bytes"] for r in sharding.shards(same, limit=100).collect()) <= 100
+    assert sharding.shards(empty).count() == 0
+
+
+def test_written_shards(spark, tmp_path):
+    docs = documents(spark, ["x" * 50] * 20)
+    sharding.write_shards(docs, str(tmp_path / "out"), limit=200)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.count() == 20 and set(docs.columns) < set(back.columns)
+    assert max(r["b"] for r in back.groupBy("shard").agg(F.sum(F.length("text")).alias("b")).collect()) <= 200
+
+
+PAGE = (
+    '<html><head><title>T</title><style>p{}</style></head><body><header>Site</header><div class="cookie-notice">We use cookies</div><nav><a href="/x">Menu</a></nav>'
+    '<div id="sidebar"><p>Side, stuff</p></div><div class="post-content"><h1>T &amp; t</h1><p>One, two,\n three.</p><div class="ad">Buy, buy</div>'
+    "<script>if (a<b) {}</script><p>Four<b>five</b> six<br>seven&nbsp;&eacute;&#233;</p><!-- <p>no</p> --></div><form><p>f</p></form>"
+    '<section id="comments"><p>Nice, very nice, thanks, a lot, long long comment here, yes</p></section><footer>F</footer></body></html>'
+)
+
+
+def test_html(spark):
+    assert html_text.main_text(PAGE) == "T & t One, two, three. Fourfive six seven éé"
+    assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<nav>x</nav>") == ""
+    assert html_text.main_text("<p>a<p>b") == "a b"
+    assert html_text.main_text("<article><h1>x &am") == "x &am" and html_text.main_text("<article>x &amp") == "x &"
+    assert html_text.main_text("<div>" * 5000 + "deep" + "</div>" * 10) == "deep"
+    assert html_text.main_text("<p class='a>b") == "b"
+    rows = spark.createDataFrame([(1, "u", PAGE, 0), (2, None, None, 1), (None, "u", "<p>z", 2), (1, "u", PAGE, 3)], "page_id long, url string, html string, text int")
+    found = html_text.extract(rows).collect()
+    assert [r["n_chars"] for r in found] == [len(r["text"]) for r in found] and len(found) == 4
+    assert html_text.extract(rows.limit(0)).count() == 0
+
+
+@pytest.fixture(scope="module")
+def graded(spark):
+    rng = random.Random(13)
+    good = [words(rng, rng.randint(20, 60)) + "." for _ in range(160)]
+    bad = [" ".join(w + "!!" for w in words(rng, rng.randint(20, 60)).upper().split(" ")) for _ in range(80)]
+    docs = [(i, t, "en", "s", len(t)) for i, t in enumerate(good + bad)]
+    labels = [(i, int(i < 160), 0) for i in range(240) if i % 3]
+    return spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def test_co_training(spark, graded, hard, empty):
+    docs, labels = graded
+    found = quality.classify(docs, labels).collect()
+    held = [r["keep"] == (r["doc_id"] < 160) for r in found if r["doc_id"] % 3 == 0]
+    assert len(found) == 240 and sum(held) / len(held) > 0.95
+    kept = quality.keep_good(docs.withColumnRenamed("lang", "score"), labels)
+    assert kept.columns == ["doc_id", "text", "score", "source", "n_chars"] and 120 < kept.count() < 190
+    model = quality.train(docs, labels)
+    assert model.score(hard).count() == len(HARD) + 2 and model.score(empty).count() == 0
+
+
+def test_nothing_to_learn_from(spark, graded, empty):
+    docs, labels = graded
+    for some in (labels.limit(0), labels.where("quality = 1"), labels.withColumn("quality", F.lit(None).cast("int"))):
+        rows = quality.classify(docs.limit(5), some).collect()
+        assert [r["keep"] for r in rows] == [True] * 5 and all(r["score"] is None for r in rows)
+    assert quality.classify(empty, labels).count() == 0
