@@ -65,3 +65,33 @@ def sessions(log: DataFrame, key: str, gap_s: int) -> DataFrame:
     new = (us - F.lag(us).over(w) > gap_s * 1_000_000).cast("int")
     rows = log.withColumn("_new", F.coalesce(new, F.lit(1))).withColumn("session", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return rows.groupBy(key, "session").agg(F.count("*").alias("n"), F.min(us).alias("start_us"), F.max(us).alias("end_us"))
+
+
+def token_bucket(requests: DataFrame, key: str, per_minute: float, burst: int) -> DataFrame:
+    """Each request (key, seq, ts) with whether a token was there and how many are left: a bucket of
+    ``burst`` tokens refills evenly. Requests of a key stream by in order; one bucket is held."""
+    per_us = per_minute / 60_000_000
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, last, tokens = None, 0, 0.0
+        for batch in batches:
+            allowed, left = [], []
+            for who, at in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if who != current:
+                    current, last, tokens = who, at, float(burst)
+                tokens = min(float(burst), tokens + (at - last) * per_us)
+                last = at
+                allowed.append(tokens >= 1)
+                tokens -= tokens >= 1
+                left.append(tokens)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(allowed), pa.array(left, pa.float64())], names=["key", "seq", "allowed", "tokens"])
+
+    rows = requests.select(F.col(key).alias("key"), "seq", micros(F.col("ts")).alias("us"))
+    kind = rows.schema["key"].dataType.simpleString()
+    return rows.repartition("key").sortWithinPartitions("key", "us", "seq").mapInArrow(fold, f"key {kind}, seq long, allowed boolean, tokens double")
+
+
+def running_balance(log: DataFrame, key: str, order: str, change) -> DataFrame:
+    """Every row with the running sum of ``change`` over its key: connections, credits, depth."""
+    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return log.withColumn("balance", F.sum(change).over(w))
