@@ -85,6 +85,14 @@ def features(docs: DataFrame, text_col: str, kept: list[Column]) -> DataFrame:
     return row.drop("_t", "_k", "_tf", "_cat", "_source", "_lang", *(f"_{k}" for k in NUMBERS))
 
 
+def _needed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The id as _id, the text as _text, and source and lang where there are any: under names of our own,
+    so that no other column can clash."""
+    have = {c.lower(): c for c in docs.columns}
+    more = [F.col(have[c]).alias(c) for c in ("source", "lang") if c in have]
+    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *more)
+
+
 def _sample(ids: DataFrame, most: int) -> DataFrame:
     return ids.orderBy(F.xxhash64("_id"), "_id").limit(most)
 
@@ -154,13 +162,14 @@ def train(
     fitted. Ids repeated among the documents are drawn together."""
     label = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("y")).dropna()
     label = label.groupBy("_id").agg(F.min("y").alias("y"))
-    ids = docs.select(F.col(id_col).alias("_id")).dropna().distinct()
+    docs = _needed(docs, id_col, text_col)
+    ids = docs.select("_id").dropna().distinct()
     chosen = _sample(label.join(ids, "_id", "left_semi"), max_labelled)
     pool = _sample(ids.join(label, "_id", "left_anti"), max_pool).withColumn("y", F.lit(None).cast("double"))
     chosen = materialize(chosen.unionByName(pool))
-    views = docs.join(F.broadcast(chosen), docs[id_col] == chosen["_id"])  # bounded by the two parameters
+    views = docs.join(F.broadcast(chosen), "_id")  # bounded by the two parameters
     held = (F.pmod(F.xxhash64(F.lit("held out"), "_id"), F.lit(CALIBRATE)) == 0) & F.col("y").isNotNull()
-    views = features(views, text_col, [F.col("_id"), F.col("y"), held.alias("_held")])
+    views = features(views, "_text", [F.col("_id"), F.col("y"), held.alias("_held")])
     views = materialize(views.withColumns({"_text_y": F.when(~F.col("_held"), F.col("y")), "_meta_y": F.when(~F.col("_held"), F.col("y"))}))
     seen = views.groupBy("_held").agg(F.count_distinct("y").alias("classes")).where("classes > 1").count()
     if seen < 2:
@@ -199,15 +208,16 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """One row per row of ``docs``: (id, p_text, p_meta, score, keep). keep is true at a score of
     ``threshold`` or more, and where nothing could be learned. Null and empty texts are scored as empty;
     repeated rows score alike; empty documents give an empty result."""
-    found = train(docs, labels, id_col, text_col, **how).score(docs, text_col)
-    return found.select(id_col, "p_text", "p_meta", "score", F.coalesce(F.col("score") >= threshold, F.lit(True)).alias("keep"))
+    found = train(docs, labels, id_col, text_col, **how).score(_needed(docs, id_col, text_col), "_text")
+    return found.select(F.col("_id").alias(id_col), "p_text", "p_meta", "score", F.coalesce(F.col("score") >= threshold, F.lit(True)).alias("keep"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, **how) -> DataFrame:
     """The rows of ``docs`` that ``classify`` keeps, with their own columns only."""
     plain = docs.select(*(F.col(c).alias(f"_c{k}") for k, c in enumerate(docs.columns)))
     at = {c: f"_c{k}" for k, c in enumerate(docs.columns)}
-    named = plain.withColumns({n: F.col(at[c]) for n, c in (("source", "source"), ("lang", "lang")) if c in at})
+    have = {c.lower(): c for c in docs.columns}
+    named = plain.withColumns({n: F.col(at[have[n]]) for n in ("source", "lang") if n in have})
     model = train(docs, labels, id_col, text_col, **how)
     found = model.score(named, at[text_col]).where(F.coalesce(F.col("score") >= threshold, F.lit(True)))
     return found.select(*(F.col(v).alias(c) for c, v in at.items()))

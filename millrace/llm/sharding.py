@@ -85,7 +85,7 @@ def directory(found: DataFrame) -> DataFrame:
 def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> None:
     """Writes the rows with all their columns as Parquet, one folder per shard below ``path``. Rows with
     no id go to the shard of the empty id. Ids must be unique."""
-    shard = free_name(docs, "shard")
-    of = shards(docs, id_col, text_col, limit).select(F.col(id_col).alias("_id"), F.concat(F.lit("b"), "shard").alias(shard))
-    rows = docs.join(of, docs[id_col].eqNullSafe(of["_id"])).drop("_id")
+    shard, key = free_name(docs, "shard"), free_name(docs, "key")
+    of = shards(docs, id_col, text_col, limit).select(F.col(id_col).alias(key), F.concat(F.lit("b"), "shard").alias(shard))
+    rows = docs.join(of, docs[id_col].eqNullSafe(of[key])).drop(key)
     rows.repartition(shard).write.partitionBy(shard).parquet(path)

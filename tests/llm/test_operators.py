@@ -431,6 +431,8 @@ def test_co_training(spark, graded, hard, empty):
     found = quality.classify(docs, labels).collect()
     held = [r["keep"] == (r["doc_id"] < 160) for r in found if r["doc_id"] % 3 == 0]
     assert len(found) == 240 and sum(held) / len(held) > 0.95
+    clashing = docs.withColumns({"y": F.lit(1), "_id": F.lit("x"), "_t": F.lit("x"), "p_text": F.lit(0)})
+    assert {(r["doc_id"], r["keep"]) for r in quality.classify(clashing, labels).collect()} == {(r["doc_id"], r["keep"]) for r in found}
     kept = quality.keep_good(docs.withColumnRenamed("lang", "score"), labels)
     assert kept.columns == ["doc_id", "text", "score", "source", "n_chars"] and 120 < kept.count() < 190
     model = quality.train(docs, labels)
