@@ -17,8 +17,8 @@ from millrace.llm.common import as_table, materialize
 
 #: A line allows one edit for each so many code points, up to MAX_EDITS.
 CODE_POINTS_AN_EDIT, MAX_EDITS = 10, 2
-#: Their counts, modulo 256, make up a line's sketch.
-LETTERS = "entairso"
+#: Their counts, modulo 16, make up a line's sketch.
+LETTERS = "entairsodhlucmgw"
 #: At most so many ids (8 bytes each) are broadcast; more are joined by a shuffle.
 MAX_BROADCAST = 1 << 17
 
@@ -41,55 +41,57 @@ def edits(length: Column, max_edits: int = MAX_EDITS) -> Column:
     return F.least(F.lit(max_edits), F.floor(length / CODE_POINTS_AN_EDIT)).cast("int")
 
 
-def _segment(length: Column, t: int, i: int) -> tuple[Column, Column]:
-    """Start (from 1) and length of segment i (from 1) of t + 1; the last ones are the longer."""
-    base, longer = F.floor(length / (t + 1)), F.pmod(length, F.lit(t + 1))
-    start = 1 + (i - 1) * base + F.greatest(F.lit(0), longer - (t + 2 - i))
-    return start.cast("int"), (base + (longer >= t + 2 - i).cast("int")).cast("int")
-
-
-def index_keys(line: Column, max_edits: int = MAX_EDITS) -> Column:
-    """Hashes of the line's own segments with its length and their numbers."""
-    n, none = F.length(line), F.array().cast("array<bigint>")
-    out = none
+def _looks(max_edits: int, probing: bool) -> list[tuple[int, int, int, int]]:
+    """(t, less, i, shift): where to look in a line for segment i of a line ``less`` shorter that allows
+    t edits, as a shift of the segment's place. The line's own segments are those without less or shift."""
+    out = []
     for t in range(1, max_edits + 1):
-        parts = [(i, *_segment(n, t, i)) for i in range(1, t + 2)]
-        own = F.array(*(F.xxhash64(n, F.lit(i), F.substring(line, start, size)) for i, start, size in parts))
-        out = F.when(edits(n, max_edits) == t, own).otherwise(out)
+        for less in range(t + 1 if probing else 1):
+            for i in range(1, t + 2):
+                low, high = max(1 - i, less - (t + 1 - i)), min(i - 1, less + t + 1 - i)
+                out += [(t, less, i, shift) for shift in (range(low, high + 1) if probing else (0,))]
     return out
 
 
-def probe_keys(line: Column, max_edits: int = MAX_EDITS) -> Column:
-    """Hashes of the substrings that could be a segment of a line that is not longer."""
-    length, none, found = F.length(line), F.array().cast("array<bigint>"), []
-    for less in range(max_edits + 1):
-        n = length - less
-        for t in range(max(1, less), max_edits + 1):
-            probes = []
-            for i in range(1, t + 2):
-                start, size = _segment(n, t, i)
-                for shift in range(max(1 - i, less - (t + 1 - i)), min(i - 1, less + t + 1 - i) + 1):
-                    at = start + shift
-                    key = F.xxhash64(n, F.lit(i), F.substring(line, at, size))
-                    probes.append(F.when((at >= 1) & (at + size - 1 <= length), key))
-            found.append(F.when((n > 0) & (edits(n, max_edits) == t), F.array(*probes)).otherwise(none))
-    return F.array_distinct(F.filter(F.concat(*found), lambda x: x.isNotNull()))
+def keys(distinct: DataFrame, max_edits: int, probing: bool) -> DataFrame:
+    """(h, key, s): hashes of the segments of each line (key, line, length, s), or of the substrings that
+    could be a segment of a line that is not longer. A line of length n has t + 1 segments, the last ones
+    the longer; they are no shorter than the shifts are wide, so every place lies within the line.
+
+    One small expression over a list of places: spelled out place by place it would be too long a method
+    for the compiler."""
+
+    def listed(some: list) -> Column:
+        return F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in zip(("t", "less", "i", "shift"), x))) for x in some))
+
+    every = _looks(max_edits, probing)
+    # most lines are long enough to allow max_edits whatever they are compared with
+    long = F.col("length") >= CODE_POINTS_AN_EDIT * max_edits + max_edits
+    looks = F.when(long, listed([x for x in every if x[0] == max_edits])).otherwise(listed(every))
+    rows = distinct.select("key", "s", "line", "length", F.explode(looks).alias("x")).select("key", "s", "line", "length", "x.*")
+    n = F.col("length") - F.col("less")
+    rows = rows.withColumn("n", n).where(edits(F.col("n"), max_edits) == F.col("t"))
+    base, longer = F.floor(F.col("n") / (F.col("t") + 1)).cast("int"), F.col("n") % (F.col("t") + 1)
+    late = F.col("t") + 2 - F.col("i")  # segments from here on are one longer
+    start = base * (F.col("i") - 1) + F.greatest(F.lit(0), longer - late) + 1 + F.col("shift")
+    size = base + (longer >= late).cast("int")
+    return rows.select(F.xxhash64("n", "i", F.substring("line", start, size)).alias("h"), "key", "s")
 
 
 def sketch(line: Column) -> Column:
     out = F.lit(0).cast("long")
     for k, letter in enumerate(LETTERS):
         count = F.length(line) - F.length(F.replace(line, F.lit(letter), F.lit("")))
-        out = out.bitwiseOR(F.shiftleft(count.bitwiseAND(255).cast("long"), 8 * k))
+        out = out.bitwiseOR(F.shiftleft(count.bitwiseAND(15).cast("long"), 4 * k))
     return out
 
 
 def _alike(a: Column, b: Column, max_edits: int) -> Column:
-    """No edit changes the letter counts by more than two in all."""
+    """No edit changes the letter counts by more than two in all (exact for up to four edits)."""
     total = F.lit(0)
     for k in range(len(LETTERS)):
-        x, y = (F.shiftrightunsigned(c, 8 * k).bitwiseAND(255).cast("int") for c in (a, b))
-        total = total + F.least(F.pmod(x - y, F.lit(256)), F.pmod(y - x, F.lit(256)))
+        x, y = (F.shiftrightunsigned(c, 4 * k).bitwiseAND(15).cast("int") for c in (a, b))
+        total = total + F.least((x - y).bitwiseAND(15), (y - x).bitwiseAND(15))
     return total <= 2 * max_edits
 
 
@@ -156,20 +158,21 @@ def within(pairs: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
 
 
 def classes(rows: DataFrame) -> DataFrame:
-    """(k1, k2, first struct<id, line_no>, n, line, key) of the distinct lines that are not empty."""
+    """(k1, k2, first struct<id, line_no>, n, line, key, length, s) of the distinct lines, empty ones
+    left out; s is the sketch."""
     one = rows.where("line != ''").select("id", "line_no", *_keys(F.col("line")), "line")
     one = one.groupBy("k1", "k2").agg(
         F.min(F.struct("id", "line_no")).alias("first"), F.count("*").alias("n"), F.first("line").alias("line")
     )
-    return as_table(one.withColumn("key", F.monotonically_increasing_id()))
+    return as_table(one.withColumns({"key": F.monotonically_increasing_id(), "length": F.length("line"), "s": sketch(F.col("line"))}))
 
 
 def links(distinct: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
-    """(a, b, distance): pairs of keys of ``distinct`` (key, line) within the allowed edits, each once."""
-    line = F.col("line")
-    some = distinct.where(edits(F.length(line), max_edits) >= 1).select("key", "line", sketch(line).alias("s"))
-    index = some.select(F.explode(index_keys(line, max_edits)).alias("h"), F.col("key").alias("a"), F.col("s").alias("sa"))
-    probe = some.select(F.explode(probe_keys(line, max_edits)).alias("ph"), F.col("key").alias("b"), F.col("s").alias("sb"))
+    """(a, b, distance): pairs of keys of ``distinct`` (key, line, length, s) within the allowed edits,
+    each once."""
+    some = distinct.where(edits(F.col("length"), max_edits) >= 1)
+    index = keys(some, max_edits, False).select("h", F.col("key").alias("a"), F.col("s").alias("sa"))
+    probe = keys(some, max_edits, True).select(F.col("h").alias("ph"), F.col("key").alias("b"), F.col("s").alias("sb"))
     met = (F.col("h") == F.col("ph")) & (F.col("a") != F.col("b")) & _alike(F.col("sa"), F.col("sb"), max_edits)
     pairs = index.join(probe, met).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = materialize(pairs.distinct())
@@ -199,7 +202,7 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     rows = lines(docs, id_col, text_col)
     distinct = classes(rows)
-    found = links(distinct.select("key", "line"), max_edits)
+    found = links(distinct, max_edits)
     # the ends' first occurrences, for linked classes only
     ends = found.select("a", "b").union(found.select("b", "a"))
     firsts = distinct.select("key", "first")
