@@ -44,6 +44,14 @@ def free_name(df: DataFrame, stem: str) -> str:
     return name
 
 
+def any_of(words: list[str] | tuple[str, ...]) -> str:
+    """A pattern for any of the words, by first letter, so that most places are ruled out by one look."""
+    by: dict[str, list[str]] = {}
+    for word in sorted(set(words)):
+        by.setdefault(word[0], []).append(word[1:])
+    return "|".join(f"{a}(?:{'|'.join(sorted(rest, key=len, reverse=True))})" for a, rest in sorted(by.items()))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected graph: (node, root), root the least node reachable.
 

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialize
+from millrace.llm.common import any_of, materialize
 
 WORDS_EACH, CONTAINMENT, MISS = 5, 0.8, 1e-9
 WORD = r"[\p{L}\p{N}]+"
@@ -149,10 +149,7 @@ def scan(
     if not some:
         return spark.createDataFrame([], schema)
     text = F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    hit = F.lit(False)
-    for word in hitting_words(some):
-        hit = hit | F.contains(text, F.lit(word))
-    rows = docs.where(hit).select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), text.alias("t"))
+    rows = docs.where(F.rlike(text, F.lit(any_of(hitting_words(some))))).select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), text.alias("t"))
     rows = rows.select("id", "row", F.regexp_extract_all("t", F.lit(WORD), F.lit(0)).alias("w")).where(F.size("w") > 0)
     # by way of explode, which keeps the words from being cut anew for every shingle
     rows = rows.select("id", "row", F.explode(F.array(F.struct("w"))).alias("x")).select("id", "row", "x.w")
@@ -160,15 +157,24 @@ def scan(
     frame = _template_frame(spark, some)
     known = frame.select("template_hashes").collect()  # the templates' own, a fixed number
     known = sorted({h for r in known for h in r[0]})
-    rows = rows.select("id", "row", F.col("x.s").alias("s"), F.col("x.n").alias("n"))
-    rows = rows.where(F.exists("s", lambda h: h.isin(known)))
-    rows = materialize(rows)  # few documents come so far
+    places = F.filter(F.transform("x.s", lambda h, i: F.when(h.isin(known), i)), lambda i: i.isNotNull())
+    rows = rows.select("id", "row", F.col("x.s").alias("s"), F.col("x.n").alias("n"), places.alias("places"))
+    rows = materialize(rows).where(F.size("places") > 0)  # few documents come so far
     sizes = sorted({len(t.words) for t in some})
     looks = [(m, -(-m // 2), m + -(-m // 2), *bands(m, m + -(-m // 2), containment)) for m in sizes]
     names = ("m", "stride", "span", "n_bands", "each")
     look = F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in zip(names, x))) for x in looks))
-    rows = rows.withColumn("look", F.explode(look)).select("id", "row", "s", "n", "look.*")
-    starts = F.sequence(F.lit(0), F.greatest(F.col("n") - F.col("m") + F.col("stride") - 1, F.lit(0)), F.col("stride"))
+    rows = rows.withColumn("look", F.explode(look)).select("id", "row", "s", "n", "places", "look.*")
+    # the windows that hold a template shingle: those that start at a multiple of the stride within reach
+    stride, reach = F.col("stride"), F.greatest(F.col("span") - WORDS_EACH, F.lit(0))
+    last = F.floor(F.greatest(F.col("n") - F.col("m") + stride - 1, F.lit(0)) / stride).cast("int")
+
+    def windows(place: Column) -> Column:
+        low = F.greatest(F.ceil((place - reach) / stride).cast("int"), F.lit(0))
+        high = F.least(F.floor(place / stride).cast("int"), last)
+        return F.when(low <= high, F.sequence(low, F.greatest(high, low))).otherwise(F.array().cast("array<int>"))
+
+    starts = F.transform(F.array_distinct(F.flatten(F.transform("places", windows))), lambda k: k * stride)
     span = rows.select("id", "row", F.explode(starts).alias("start"), "s", "span", *(F.col(k).alias(f"w_{k}") for k in ("m", "n_bands", "each")))
     shingles = F.slice("s", F.col("start") + 1, F.greatest(F.col("span") - WORDS_EACH + 1, F.lit(1)))
     span = span.select("id", "row", "start", F.array_distinct(shingles).alias("ws"), "w_m", "w_n_bands", "w_each")
