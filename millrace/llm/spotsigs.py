@@ -46,7 +46,8 @@ def signatures(text: Column, anchors: tuple[str, ...] = ANCHORS, chain: int = CH
     without content words has one signature, of the whole text; null counts as empty."""
     text = F.coalesce(text.cast("string"), F.lit(""))
     words = F.concat(F.lit(" "), F.btrim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
-    marked = F.regexp_replace(words, f"(?:(?<= )(?:{_anchor_pattern(anchors)}) )+", "~")
+    # one anchor at a time: a repeated group would recurse once per word of a long run
+    marked = F.regexp_replace(F.regexp_replace(words, f"(?<= )(?:{_anchor_pattern(anchors)}) ", "~"), "~+", "~")
     spots = F.lit(rf"(?:^ ~?|~)(?=([^ ~]+(?: ~?[^ ~]+){{0,{chain - 1}}}))")
     found = F.array_distinct(F.transform(F.regexp_extract_all(marked, spots, F.lit(1)), lambda c: F.hash(c)))
     return F.array_sort(F.when(F.size(found) > 0, found).otherwise(F.array(F.hash(text))))
