@@ -6,13 +6,13 @@ one token per prefix is the whole state. Walking the table backwards gives the i
 without touching what is there; and after an edit only the prefixes behind it are computed anew.
 
 Texts are first cut by the vocabulary's pattern, and each match is encoded by itself. Matches repeat, so
-a task keeps the ids of those it has met in a cache of bounded size.
+a task keeps the ids of those it has met lately in a cache of bounded size.
 """
 
 from __future__ import annotations
 
 import base64
-import hashlib
+from array import array
 from collections.abc import Iterator
 
 import public_tokenizers
@@ -32,8 +32,9 @@ class Vocabulary:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.tokens = dict(zip(self.ranks.values(), self.ranks))
         self.longest = max(map(len, self.ranks))
-        self._apart: dict[tuple[bytes, bytes], bool] = {}
-        self._own: dict[bytes, bool] = {}
+        #: Tokens that are reached by merging their bytes, the only ones that an encoding can hold.
+        self.own = {t for t in self.ranks if len(self.merged(t)) == 1}
+        self.known: dict[tuple[bytes, bytes], bool] = {}
 
     def merged(self, data: bytes) -> list[bytes]:
         """The plain definition: merge the adjacent pair of least rank until there is none."""
@@ -50,17 +51,12 @@ class Vocabulary:
                 pairs[at] = rank(parts[at] + parts[at + 1], none)
         return parts
 
-    def own(self, token: bytes) -> bool:
-        """Whether the token is reached by merging its bytes."""
-        if (found := self._own.get(token)) is None:
-            found = self._own[token] = len(self.merged(token)) == 1
-        return found
-
     def apart(self, left: bytes, right: bytes) -> bool:
-        if (found := self._apart.get((left, right))) is None:
-            if len(self._apart) >= 1 << 19:
-                self._apart.clear()
-            found = self._apart[left, right] = self.merged(left + right) == [left, right]
+        """Whether both stay as they are when one follows the other."""
+        if len(self.known) >= 1 << 19:
+            self.known.clear()
+        whole = left + right
+        found = self.known[left, right] = whole not in self.own and self.merged(whole) == [left, right]
         return found
 
 
@@ -74,12 +70,15 @@ class PrefixTable:
     def append(self, more: bytes) -> None:
         """Exact: prefixes that are already there keep their token."""
         v, last = self.vocabulary, self.last
-        ranks, longest = v.ranks, v.longest
+        own, known, longest = v.own, v.known.get, v.longest
         self.data = data = self.data + more
         for end in range(len(last), len(data) + 1):
             for start in range(max(0, end - longest), end):
                 token = data[start:end]
-                if token in ranks and (not start or v.apart(last[start], token)) and v.own(token):
+                if token in own:
+                    if start and (fits := known((last[start], token))) is not True:
+                        if fits is False or not v.apart(last[start], token):
+                            continue
                     last.append(token)
                     break
             else:
@@ -117,45 +116,47 @@ class Recent(dict):
 
 
 class Cutter:
-    """Whole texts to ids as little-endian unsigned 32-bit integers, match by match of a pattern.
+    """Whole texts to ids as little-endian unsigned 32-bit integers, word by word.
 
     A place between a non-space and a single space that a non-space follows always is a border of the
-    pattern's matches, so texts are first split there, which is cheap; a text with any other white space
-    beside such a border is cut by the pattern as a whole.
+    pattern's matches, so the words between such places can be encoded each by itself, and a cache holds
+    what the recent ones came to. A text with any other white space beside a space is encoded whole.
     """
 
-    def __init__(self, encode_match, pattern: str = public_tokenizers.PATTERN, most: int = 1 << 18):
-        self.find = regex.compile(pattern).findall
-        self.matches = Recent(encode_match, most)
-        self.words = Recent(self._word, most)
+    def __init__(self, encode_piece, most: int = 1 << 18):
+        self.piece = encode_piece
+        self.words = Recent(self._word, most)  # by the word without the space before it
 
     def _word(self, word: str) -> bytes:
-        if word == " " or word[1:2].isspace() or word[-1:].isspace():
+        if not word or word[0].isspace() or word[-1].isspace():
             raise LookupError
-        return b"".join(map(self.matches.__getitem__, self.find(word)))
+        return self.piece(" " + word)
 
     def encode(self, text: str) -> bytes:
         first, *rest = text.split(" ")
         try:
-            if first and (first[0].isspace() or first[-1].isspace()):
+            if first[-1:].isspace() or rest and not first:
                 raise LookupError
-            head = b"".join(map(self.matches.__getitem__, self.find(first)))
-            return head + b"".join([self.words[" " + w] for w in rest])
+            return self.piece(first) + b"".join(map(self.words.__getitem__, rest))
         except LookupError:
-            return b"".join(map(self.matches.__getitem__, self.find(text)))
+            return self.piece(text)
 
 
 class Encoder(Cutter):
     """Encodes by prefix tables, and decodes."""
 
-    def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN):
-        super().__init__(self._match, pattern)
+    def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN, most: int = 1 << 18):
+        super().__init__(self._piece, most)
+        self.find = regex.compile(pattern).findall
+        self.matches = Recent(self._match, most)
         self.vocabulary = Vocabulary(path)
         self.tokens = [self.vocabulary.tokens.get(i, b"") for i in range(max(self.vocabulary.tokens) + 1)]
 
+    def _piece(self, text: str) -> bytes:
+        return b"".join(map(self.matches.__getitem__, self.find(text)))
+
     def _match(self, match: str) -> bytes:
-        ids = PrefixTable(self.vocabulary, match.encode()).ids()
-        return b"".join(i.to_bytes(4, "little") for i in ids)
+        return array("I", PrefixTable(self.vocabulary, match.encode()).ids()).tobytes()
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, memoryview(ids).cast("I")))
