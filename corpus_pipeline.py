@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import exact_dedup, packing, quality, simhash
+from millrace.llm import exact_dedup, near_dedup, packing, quality
 from millrace.llm.common import as_table
 
 
@@ -23,9 +23,9 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash near-dedup: one document of each component stays. Shingles of five words; links at up to
-    six bits, which random pairs reach once in 2e11."""
-    return simhash.keep_one(docs, words_each=5, radius=6)
+    """SimHash near-dedup: one document of each component stays. Links are pairs whose sets of five-word
+    shingles are at least 0.8 alike, each verified; SimHash and MinHash bands give the candidates."""
+    return near_dedup.keep_one(docs, words_each=5, radius=6, tenths=8)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,7 +15,8 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from millrace.llm import bpe, common, exact_dedup, html_text, license_scan, line_dedup, packing, quality, sharding, simhash, spotsigs
+import corpus_pipeline
+from millrace.llm import bpe, common, exact_dedup, html_text, license_scan, line_dedup, near_dedup, packing, quality, sharding, simhash, spotsigs
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -195,6 +196,39 @@ def test_simhash_components(spark, hard, empty):
     assert simhash.keep_one(hard).columns == hard.columns
 
 
+def test_near_dedup_goes_by_the_shingles(spark, hard, empty):
+    """Groups are those of brute force over shingle sets: pairs far apart in SimHash bits are found, and
+    texts near in bits by one repeated passage but unlike as sets are not linked."""
+    rng = random.Random(14)
+    base = [words(rng, 120).split(" ") for _ in range(40)]
+    texts = [" ".join(w) for w in base]
+    texts += [" ".join(w[:k] + ["other"] * (k < 120) + w[k + 1 :] + words(rng, n).split(" ")) for w, k, n in ((w, rng.randint(5, 110), rng.randint(1, 15)) for w in base)]
+    texts += [" ".join([*(["one", "two", "three", "four", "five", "six"] * 60), words(rng, 12)]) for _ in range(6)]
+    texts += [" ".join([*base[0][: 100 - k], *words(rng, k).split(" ")]) for k in range(1, 90)] + ["a b", "A  b", "a c", ""]
+    cut = [re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c < "\x80" else c for c in t)) for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in cut]
+    root = list(range(len(texts)))
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    far = 0
+    for a in range(len(texts)):
+        for b in range(a):
+            if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
+                far += bin(simhash_by_hand(texts[a], 5) ^ simhash_by_hand(texts[b], 5)).count("1") > 6
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    assert far
+    found = near_dedup.near_groups(documents(spark, texts)).collect()
+    assert {r["id"]: r["component_id"] for r in found} == {i: find(i) for i in range(len(texts))}
+    kept = corpus_pipeline.without_near_copies(spark, documents(spark, texts), "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == [i for i in range(len(texts)) if find(i) == i]
+    assert near_dedup.keep_one(hard).columns == hard.columns and near_dedup.keep_one(empty).count() == 0
+
+
 def test_links_in_a_dense_ball(spark):
     """A key with many fingerprints: connected as brute force connects them, by fewer links than pairs."""
     rng = random.Random(5)
