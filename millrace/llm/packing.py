@@ -13,6 +13,9 @@ pieces, and each piece then looks up its place in the rounds' moves.
 from __future__ import annotations
 
 import base64
+import json
+import os
+import re
 import zlib
 from array import array
 from bisect import bisect_left, insort
@@ -28,20 +31,50 @@ from pyspark.sql import functions as F
 from millrace.llm.bpe import Cutter
 from millrace.llm.common import materialize
 
-#: The ranks of the vocabulary that the tokenizer file byte_bpe_50k.json describes; the ids are the same.
+#: The ranks of the vocabulary that the tokenizer file byte_bpe_50k.json describes. The ids are the same once
+#: texts are cut at the tokens that the tokenizer file adds to the ranks.
 VOCABULARY = "byte_bpe_50k.tiktoken"
 END_ID = 2
 
-_cutters: dict[str, Cutter] = {}
+_cutters: dict[str, WithAdded] = {}
 
 
-def _cutter(name: str) -> Cutter:
-    """One per Python worker. A bare file name is looked up among the public vocabularies."""
+def added_tokens(path: str) -> dict[str, int]:
+    """Ids of the tokens that a tokenizer file adds to its vocabulary; none without such a file."""
+    if not os.path.exists(path):
+        return {}
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f).get("added_tokens") or []
+    if any(t[k] for t in found for k in ("single_word", "lstrip", "rstrip")):
+        raise ValueError(f"{path}: added tokens that look at what surrounds them")
+    return {t["content"]: t["id"] for t in found}
+
+
+class WithAdded(Cutter):
+    """Cuts texts at the added tokens, the longest where several begin; each part is encoded by itself."""
+
+    def __init__(self, encode_piece, added: dict[str, int]):
+        super().__init__(encode_piece)
+        self.ids = {t: i.to_bytes(4, "little") for t, i in added.items()}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")").split
+
+    def encode(self, text: str) -> bytes:
+        if not any(t in text for t in self.ids):
+            return super().encode(text)
+        parts = self.cut(text)
+        return b"".join(self.ids[x] if k % 2 else super(WithAdded, self).encode(x) for k, x in enumerate(parts))
+
+
+def _cutter(name: str) -> WithAdded:
+    """One per Python worker. A bare file name is looked up among the public vocabularies; the tokenizer
+    file lies beside the ranks."""
     if name not in _cutters:
-        with open(name if "/" in name else public_tokenizers.path(name), "rb") as f:
+        path = name if "/" in name else public_tokenizers.path(name)
+        with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         ids = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        _cutters[name] = Cutter(lambda text: array("I", ids(text)).tobytes())
+        added = added_tokens(os.path.splitext(path)[0] + ".json")
+        _cutters[name] = WithAdded(lambda text: array("I", ids(text)).tobytes(), added)
     return _cutters[name]
 
 

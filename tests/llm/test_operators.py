@@ -137,6 +137,17 @@ def test_packing(spark, hard, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_packing_added_tokens(spark):
+    """A text that holds the end marker as text has the id that the tokenizer file adds for it."""
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    mark = "<|endoftext|>"
+    texts = [mark, f"one{mark}two", f" a {mark} b ", mark * 3, f"{mark}\n é", f"x {mark[:-1]} y{mark}", f"<|{mark}|>", "word " * 3000 + mark + " word" * 3000]
+    rows = packing.pieces(documents(spark, texts), keep_ids=True).orderBy("id", "piece").collect()
+    for i, text in enumerate(texts):
+        got = np.frombuffer(b"".join(r["ids"] for r in rows if r["id"] == i), "<u4")
+        assert list(got) == [*tokenizer.encode(text, add_special_tokens=False).ids, 2] and 50256 in got
+
+
 # -- 8, 10: copies --------------------------------------------------------------------------------------
 
 
