@@ -4,19 +4,25 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The six bytes that count as white space wherever a contract says [\x20\x09-\x0D].
 SPACES = r"[\x20\x09-\x0D]"
+#: A key with more than one row in so many is hot; so there are fewer hot keys than this.
+HOT_SHARE = 1000
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: the cluster's own setting, or a new one in tests."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="millrace-"))
     return sc.getCheckpointDir()
 
 
@@ -52,12 +58,36 @@ def any_of(words: list[str] | tuple[str, ...]) -> str:
     return "|".join(f"{a}(?:{'|'.join(sorted(rest, key=len, reverse=True))})" for a, rest in sorted(by.items()))
 
 
+def spread_join(rows: DataFrame, info: DataFrame, keys: dict[str, str], weight: str, spread: Column) -> DataFrame:
+    """``rows`` with the columns of ``info``, of which each key has at most one row, joined left.
+
+    ``keys`` maps columns of ``rows`` to those of ``info``; ``weight`` tells how many rows a key has.
+    Keys that hold over a thousandth of all rows are fewer than a thousand: they are broadcast, and
+    their rows go wherever ``spread`` (a hash of what tells rows apart) sends them, so that no task gets
+    a hot key whole. Names of the two sides must not clash, and the first key must be a long.
+    """
+    total = info.agg(F.sum(weight)).first()[0] or 0
+    more = [c for c in info.columns if c not in keys.values()]
+    kept = info.select(*(F.col(k).alias(f"_k{n}") for n, k in enumerate(keys.values())), F.struct(*more).alias("_found"), F.col(weight).alias("_w"))
+    hot = kept.where(F.col("_w") * HOT_SHARE > total).select(*(F.col(f"_k{n}").alias(f"_h{n}") for n in range(len(keys))), F.col("_found").alias("_hot"))
+    out = rows
+    met = reduce(lambda a, b: a & b, (rows[k] == hot[f"_h{n}"] for n, k in enumerate(keys)))
+    out = out.join(F.broadcast(hot), met, "left").drop(*(f"_h{n}" for n in range(len(keys))))
+    cold = kept.where(F.col("_w") * HOT_SHARE <= total).drop("_w")
+    first, *rest = keys
+    at = F.when(F.col("_hot").isNull(), F.col(first)).otherwise(spread)
+    out = out.withColumn("_at", at)
+    met = reduce(lambda a, b: a & b, (out[k] == cold[f"_k{n + 1}"] for n, k in enumerate(rest)), out["_at"] == cold["_k0"])
+    out = out.join(cold, met, "left").withColumn("_found", F.coalesce("_hot", "_found"))
+    return out.select(*rows.columns, *(F.col("_found")[c].alias(c) for c in more))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected graph: (node, root), root the least node reachable.
 
     Alternates the large-star and small-star steps until no edge changes. Only nodes that have an
-    edge are returned. The smallest neighbour of a node is a partial aggregate, and edges whose node
-    already is a root are not joined at all, so the centre of a large star is no hot key.
+    edge are returned. The smallest neighbour of a node is a partial aggregate; a node with very many
+    edges is split over tasks by adaptive execution's skew join, as both joins look up one row a node.
     Null ends and self-loops are ignored; an empty input gives an empty result.
     """
 

@@ -1,24 +1,29 @@
 """Line deduplication by a segment-partition edit join. DataFrame functions only.
 
-Equal lines are merged first, so only distinct lines are compared. A line of length l that allows t edits
+Only distinct lines are compared, and texts are shuffled for those that met another line only. A line of length l that allows t edits
 is cut into t + 1 segments; a line within t edits contains at least one of them unchanged, at a place that
-the lengths and the segment's number pin down to a few. So segments are indexed by (l, number, content),
-and each line probes, for every length it could match, the substrings at those places. Candidates whose
+the lengths and the segment's number pin down to a few. So segments are indexed by (t, number, content),
+and each line probes, for every length it could match, the substrings at those places; its own segments
+are index and probe in one row. Candidates whose
 letter counts differ too much are left out inside the join; the others are verified by a bit-parallel
 automaton over the 2t + 1 diagonals of the band, after what both lines begin and end with is cut off.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import as_table, materialize
+from millrace.llm.common import HOT_SHARE, as_table, materialize, spread_join
 
 #: A line allows one edit for each so many code points, up to MAX_EDITS.
 CODE_POINTS_AN_EDIT, MAX_EDITS = 10, 2
-#: Their counts, modulo 16, make up a line's sketch.
-LETTERS = "entairsodhlucmgw"
+#: Their counts, modulo 16, make up a short line's sketch.
+LETTERS = "entairsodhlucmg"
+#: Lines of up to so many code points are sketched.
+SKETCHED = 96
+#: Members of a key that one task compares with all of the key's members.
+BLOCK = 1 << 10
 #: At most so many ids (8 bytes each) are broadcast; more are joined by a shuffle.
 MAX_BROADCAST = 1 << 17
 
@@ -41,49 +46,60 @@ def edits(length: Column, max_edits: int = MAX_EDITS) -> Column:
     return F.least(F.lit(max_edits), F.floor(length / CODE_POINTS_AN_EDIT)).cast("int")
 
 
-def _looks(max_edits: int, probing: bool) -> list[tuple[int, int, int, int]]:
+def _looks(max_edits: int) -> list[tuple[int, int, int, int]]:
     """(t, less, i, shift): where to look in a line for segment i of a line ``less`` shorter that allows
     t edits, as a shift of the segment's place. The line's own segments are those without less or shift."""
     out = []
     for t in range(1, max_edits + 1):
-        for less in range(t + 1 if probing else 1):
+        for less in range(t + 1):
             for i in range(1, t + 2):
                 low, high = max(1 - i, less - (t + 1 - i)), min(i - 1, less + t + 1 - i)
-                out += [(t, less, i, shift) for shift in (range(low, high + 1) if probing else (0,))]
+                out += [(t, less, i, shift) for shift in range(low, high + 1)]
     return out
 
 
-def keys(distinct: DataFrame, max_edits: int, probing: bool) -> DataFrame:
-    """(h, key, s): hashes of the segments of each line (key, line, length, s), or of the substrings that
-    could be a segment of a line that is not longer. A line of length n has t + 1 segments, the last ones
-    the longer; they are no shorter than the shifts are wide, so every place lies within the line.
+def keys(some: DataFrame, max_edits: int) -> DataFrame:
+    """(h, k, s, x): hashes of the substrings of each line (k, line, length, s) that could be a segment of
+    a line that is not longer; x is twice the length, and one more where the substring is a segment of the
+    line itself. A line of length n has t + 1 segments, the last ones the longer; they are no shorter than
+    the shifts are wide, so every place lies within the line.
 
     One small expression over a list of places: spelled out place by place it would be too long a method
     for the compiler."""
 
-    def listed(some: list) -> Column:
-        return F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in zip(("t", "less", "i", "shift"), x))) for x in some))
+    def listed(places: list) -> Column:
+        return F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in zip(("t", "less", "i", "shift"), x))) for x in places))
 
-    every = _looks(max_edits, probing)
+    every = _looks(max_edits)
     # most lines are long enough to allow max_edits whatever they are compared with
     long = F.col("length") >= CODE_POINTS_AN_EDIT * max_edits + max_edits
     looks = F.when(long, listed([x for x in every if x[0] == max_edits])).otherwise(listed(every))
-    rows = distinct.select("key", "s", "line", "length", F.explode(looks).alias("x")).select("key", "s", "line", "length", "x.*")
+    rows = some.select("k", "s", "line", "length", F.explode(looks).alias("p")).select("k", "s", "line", "length", "p.*")
     n = F.col("length") - F.col("less")
     rows = rows.withColumn("n", n).where(edits(F.col("n"), max_edits) == F.col("t"))
-    base, longer = F.floor(F.col("n") / (F.col("t") + 1)).cast("int"), F.col("n") % (F.col("t") + 1)
     late = F.col("t") + 2 - F.col("i")  # segments from here on are one longer
-    start = base * (F.col("i") - 1) + F.greatest(F.lit(0), longer - late) + 1 + F.col("shift")
-    size = base + (longer >= late).cast("int")
-    return rows.select(F.xxhash64("n", "i", F.substring("line", start, size)).alias("h"), "key", "s")
+
+    def cut(n: Column) -> tuple[Column, Column]:
+        base, longer = F.floor(n / (F.col("t") + 1)).cast("int"), n % (F.col("t") + 1)
+        return base * (F.col("i") - 1) + F.greatest(F.lit(0), longer - late) + 1, base + (longer >= late).cast("int")
+
+    start, size = cut(F.col("n"))
+    # first and last segments always are the line's beginning and end: one look for each of their sizes
+    outer = F.col("i").isin(1) | (F.col("i") == F.col("t") + 1)
+    again = outer & (F.col("less") > 0) & (cut(F.col("n") + 1)[1] == size) & (edits(F.col("n") + 1, max_edits) == F.col("t"))
+    own = (F.col("less") == 0) & (F.col("shift") == 0)
+    text = F.substring("line", start + F.col("shift"), size)
+    return rows.where(~again).select(F.xxhash64("t", "i", text).alias("h"), "k", "s", (2 * F.col("length") + own.cast("int")).alias("x"))
 
 
 def sketch(line: Column) -> Column:
-    out = F.lit(0).cast("long")
+    """Letter counts of a line of up to SKETCHED code points, 0 for a longer one: its segments are long
+    enough to rule out most others. Bit 60 tells the two apart."""
+    out = F.lit(1 << 60)
     for k, letter in enumerate(LETTERS):
         count = F.length(line) - F.length(F.replace(line, F.lit(letter), F.lit("")))
         out = out.bitwiseOR(F.shiftleft(count.bitwiseAND(15).cast("long"), 4 * k))
-    return out
+    return F.when(F.length(line) <= SKETCHED, out).otherwise(F.lit(0).cast("long"))
 
 
 def _alike(a: Column, b: Column, max_edits: int) -> Column:
@@ -92,7 +108,7 @@ def _alike(a: Column, b: Column, max_edits: int) -> Column:
     for k in range(len(LETTERS)):
         x, y = (F.shiftrightunsigned(c, 4 * k).bitwiseAND(15).cast("int") for c in (a, b))
         total = total + F.least((x - y).bitwiseAND(15), (y - x).bitwiseAND(15))
-    return total <= 2 * max_edits
+    return (a == 0) | (b == 0) | (total <= 2 * max_edits)
 
 
 def _shared_prefix(a: Column, b: Column) -> Column:
@@ -157,34 +173,63 @@ def within(pairs: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
     return pairs.select(*keep, distance.alias("distance"))
 
 
-def classes(rows: DataFrame) -> DataFrame:
-    """(k1, k2, first struct<id, line_no>, n, line, key, length, s) of the distinct lines, empty ones
-    left out; s is the sketch."""
-    one = rows.where("line != ''").select("id", "line_no", *_keys(F.col("line")), "line")
-    one = one.groupBy("k1", "k2").agg(
-        F.min(F.struct("id", "line_no")).alias("first"), F.count("*").alias("n"), F.first("line").alias("line")
-    )
-    return as_table(one.withColumns({"key": F.monotonically_increasing_id(), "length": F.length("line"), "s": sketch(F.col("line"))}))
-
-
-def links(distinct: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
-    """(a, b, distance): pairs of keys of ``distinct`` (key, line, length, s) within the allowed edits,
-    each once."""
-    some = distinct.where(edits(F.col("length"), max_edits) >= 1)
-    index = keys(some, max_edits, False).select("h", F.col("key").alias("a"), F.col("s").alias("sa"))
-    probe = keys(some, max_edits, True).select(F.col("h").alias("ph"), F.col("key").alias("b"), F.col("s").alias("sb"))
-    met = (F.col("h") == F.col("ph")) & (F.col("a") != F.col("b")) & _alike(F.col("sa"), F.col("sb"), max_edits)
-    pairs = index.join(probe, met).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = materialize(pairs.distinct())
-    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+def classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(k1, k2, first struct<id, line_no>, n) of the distinct lines, empty ones left out. Texts stay
+    where they are: only hashes and places are shuffled."""
+    one = lines(docs, id_col, text_col).where("line != ''").select("id", "line_no", *_keys(F.col("line")))
+    return materialize(one.groupBy("k1", "k2").agg(F.min(F.struct("id", "line_no")).alias("first"), F.count("*").alias("n")))
+
+
+def _of(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows whose ``key`` is among ``ids`` (id; materialized), without a shuffle where those are few."""
     small = ids.count() <= MAX_BROADCAST
-    texts = distinct.join(F.broadcast(ids) if small else ids, distinct.key == ids.id, "left_semi").select("key", "line")
-    texts = as_table(texts)
-    left, right = (texts.select(F.col("key").alias(f"{c}_key"), F.col("line").alias(f"{c}_line")) for c in "ab")
-    both = pairs.join(left, F.col("a") == F.col("a_key")).join(right, F.col("b") == F.col("b_key"))
+    return rows.join(F.broadcast(ids) if small else ids, rows[key] == ids["id"], "left_semi")
+
+
+def candidates(some: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
+    """(a, b): pairs of values of k, each once, that may be within the allowed edits of each other, from
+    lines (k, line); rows repeated in any number give one.
+
+    Rows meet on the hash of a segment. What met nothing is dropped where it arrives; what is left is
+    little, and keys with many members are dealt out in blocks of BLOCK by all of the key's members."""
+    size = F.length("line")
+    rows = some.select("k", "line", size.alias("length"), sketch(F.col("line")).alias("s")).where(edits(size, max_edits) >= 1)
+    same = Window.partitionBy("h")
+    met = keys(rows, max_edits).repartition("h").dropDuplicates(["h", "k", "s", "x"])
+    met = met.withColumns({"c": F.count("*").over(same), "own": F.max(F.col("x") % 2).over(same)})
+    met = materialize(met.where("c > 1 and own = 1").drop("own"))
+    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
+    index = met.where("x % 2 = 1").select("h", F.col("k").alias("a"), F.col("s").alias("sa"), F.col("x").alias("xa"), F.pmod(F.xxhash64("k"), blocks).cast("int").alias("part"))
+    probe = met.select(F.col("h").alias("ph"), F.col("k").alias("b"), F.col("s").alias("sb"), F.col("x").alias("xb"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("at"))
+    fits = (F.floor(F.col("xb") / 2) - F.floor(F.col("xa") / 2)).between(0, max_edits) & (F.col("a") != F.col("b"))
+    pairs = index.join(probe, (F.col("h") == F.col("ph")) & (F.col("part") == F.col("at")) & fits & _alike(F.col("sa"), F.col("sb"), max_edits))
+    return materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+
+def links(docs: DataFrame, found: DataFrame, id_col: str, text_col: str, max_edits: int = MAX_EDITS) -> DataFrame:
+    """(a struct<k1, k2>, b, distance): pairs of distinct lines within the allowed edits, each once.
+    ``found``: the ``classes``. A line counts once, however often it is there: those with more than a
+    thousandth of all lines are looked up once, as they are fewer than a thousand."""
+    rows = lines(docs, id_col, text_col).where("line != ''").select(*_keys(F.col("line")), "line")
+    total = found.agg(F.sum("n")).first()[0] or 0
+    hot = found.where(F.col("n") * HOT_SHARE > total).select(F.col("k1").alias("h1"), F.col("k2").alias("h2"), F.col("first.id").alias("i"))
+    hot = F.broadcast(materialize(hot))
+    is_hot = (F.col("k1") == F.col("h1")) & (F.col("k2") == F.col("h2"))
+    where = lines(docs.join(hot, docs[id_col].eqNullSafe(F.col("i")), "left_semi"), id_col, text_col)
+    once = where.select(*_keys(F.col("line")), "line").join(hot, is_hot, "left_semi").groupBy("k1", "k2").agg(F.first("line").alias("line"))
+    texts = rows.join(hot, is_hot, "left_anti").unionByName(once)
+    # k1 alone tells lines apart here; should two share it, both are compared
+    pairs = candidates(texts.select(F.col("k1").alias("k"), "line"), max_edits)
+    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    texts = as_table(_of(texts, ids, "k1").dropDuplicates(["k1", "k2"]))
+    left, right = (texts.select(F.col("k1").alias(f"{c}_k"), F.struct("k1", "k2").alias(f"{c}_key"), F.col("line").alias(f"{c}_line")) for c in "ab")
+    both = pairs.join(left, F.col("a") == F.col("a_k")).join(right, F.col("b") == F.col("b_k"))
     swap = F.length("a_line") > F.length("b_line")
     both = both.select(
-        "a", "b", F.when(swap, F.col("b_line")).otherwise(F.col("a_line")).alias("short"), F.when(swap, F.col("a_line")).otherwise(F.col("b_line")).alias("long")
+        F.col("a_key").alias("a"),
+        F.col("b_key").alias("b"),
+        F.when(swap, F.col("b_line")).otherwise(F.col("a_line")).alias("short"),
+        F.when(swap, F.col("a_line")).otherwise(F.col("b_line")).alias("long"),
     ).withColumn("t", edits(F.length("short"), max_edits))
     # kept before it is filtered: a filter would be pushed down with the whole automaton copied into it
     return materialize(within(both, max_edits)).where("distance <= t").select("a", "b", "distance")
@@ -200,21 +245,24 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first in order. Repeated rows are lines of their own that share the first occurrence's fate. An empty
     table gives an empty result; columns other than the two named are ignored.
     """
-    rows = lines(docs, id_col, text_col)
-    distinct = classes(rows)
-    found = links(distinct, max_edits)
+    distinct = classes(docs, id_col, text_col)
+    found = links(docs, distinct, id_col, text_col, max_edits)
     # the ends' first occurrences, for linked classes only
     ends = found.select("a", "b").union(found.select("b", "a"))
-    firsts = distinct.select("key", "first")
+    ids = materialize(ends.select(F.col("a.k1").alias("id")).distinct())
+    firsts = materialize(_of(distinct, ids, "k1").select(F.struct("k1", "k2").alias("key"), "first"))
     of = ends.join(firsts.select(F.col("key").alias("ka"), F.col("first").alias("fa")), F.col("a") == F.col("ka"))
     of = of.join(firsts.select(F.col("key").alias("kb"), F.col("first").alias("fb")), F.col("b") == F.col("kb"))
     linked = of.groupBy("a").agg(F.count("*").alias("n_links"), F.max(F.col("fb") < F.col("fa")).alias("late"))
-    info = distinct.select("k1", "k2", "first", "n", "key").join(linked, F.col("key") == F.col("a"), "left")
-    info = materialize(
-        info.select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "first", "n", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("late", F.lit(False)).alias("late"))
+    linked = materialize(linked.select(F.col("a.k1").alias("l1"), F.col("a.k2").alias("l2"), "n_links", "late"))
+    few = linked.count() <= MAX_BROADCAST
+    info = distinct.join(F.broadcast(linked) if few else linked, (F.col("k1") == F.col("l1")) & (F.col("k2") == F.col("l2")), "left")
+    info = info.select(
+        F.col("k1").alias("c1"), F.col("k2").alias("c2"), "first", "n", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("late", F.lit(False)).alias("late")
     )
+    rows = lines(docs, id_col, text_col)
     one = rows.where("line != ''").select("id", "line_no", *_keys(F.col("line")))
-    full = one.join(info, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2"))).select(
+    full = spread_join(one, info, {"k1": "c1", "k2": "c2"}, "n", F.xxhash64("id", "line_no")).select(
         F.col("id").alias(id_col),
         "line_no",
         F.col("first.id").alias("class_id"),
@@ -231,9 +279,10 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """(id, text) of each id: its kept lines in order, joined by line ends. Ids must be unique."""
-    kept = duplicates(docs, id_col, text_col, **how).where("kept").select(F.col(id_col).alias("i"), F.col("line_no").alias("k"))
+    """(id, text) of each id: its kept lines in order, joined by line ends; an id whose lines are all
+    dropped has an empty text. Ids must be unique."""
+    kept = duplicates(docs, id_col, text_col, **how).select(F.col(id_col).alias("i"), F.col("line_no").alias("k"), F.col("kept"))
     rows = lines(docs, id_col, text_col)
-    rows = rows.join(kept, rows.id.eqNullSafe(kept.i) & (rows.line_no == kept.k), "left_semi")
-    texts = rows.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("l"))
+    rows = rows.join(kept, rows.id.eqNullSafe(kept.i) & (rows.line_no == kept.k))
+    texts = rows.groupBy("id").agg(F.sort_array(F.collect_list(F.when(F.col("kept"), F.struct("line_no", "line")))).alias("l"))
     return texts.select(F.col("id").alias(id_col), F.array_join("l.line", "\n").alias("text"))
