@@ -5,8 +5,8 @@ is cut into t + 1 segments; a line within t edits contains at least one of them
 the lengths and the segment's number pin down to a few. So segments are indexed by (t, number, content),
 and each line probes, for every length it could match, the substrings at those places; its own segments
 are index and probe in one row. Candidates whose
-letter counts differ too much are left out inside the join; the others are verified by a bit-parallel
-automaton over the 2t + 1 diagonals of the band, after what both lines begin and end with is cut off.
+letter counts differ too much are left out; the others are verified by a bit-parallel automaton over the
+2t + 1 diagonals of the band, after what both lines begin and end with is cut off.
 """
 
 from __future__ import annotations
@@ -18,14 +18,15 @@ from millrace.llm.common import HOT_SHARE, as_table, materialize, spread_join
 
 #: A line allows one edit for each so many code points, up to MAX_EDITS.
 CODE_POINTS_AN_EDIT, MAX_EDITS = 10, 2
-#: Their counts, modulo 16, make up a short line's sketch.
+#: Their counts, modulo 16, make up a line's sketch.
 LETTERS = "entairsodhlucmg"
-#: Lines of up to so many code points are sketched.
-SKETCHED = 96
+#: Lines of up to so many code points are sketched at once; longer ones, whose segments rule out most others,
+#: where they meet more than CROWD others on a segment.
+SKETCHED, CROWD = 96, 64
 #: Members of a key that one task compares with all of the key's members.
 BLOCK = 1 << 10
 #: At most so many ids (8 bytes each) are broadcast; more are joined by a shuffle.
-MAX_BROADCAST = 1 << 17
+MAX_BROADCAST = 1 << 19
 
 
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -93,13 +94,12 @@ def keys(some: DataFrame, max_edits: int) -> DataFrame:
 
 
 def sketch(line: Column) -> Column:
-    """Letter counts of a line of up to SKETCHED code points, 0 for a longer one: its segments are long
-    enough to rule out most others. Bit 60 tells the two apart."""
+    """Never 0, which stands for a sketch that is not known."""
     out = F.lit(1 << 60)
     for k, letter in enumerate(LETTERS):
         count = F.length(line) - F.length(F.replace(line, F.lit(letter), F.lit("")))
         out = out.bitwiseOR(F.shiftleft(count.bitwiseAND(15).cast("long"), 4 * k))
-    return F.when(F.length(line) <= SKETCHED, out).otherwise(F.lit(0).cast("long"))
+    return out
 
 
 def _alike(a: Column, b: Column, max_edits: int) -> Column:
@@ -186,22 +186,27 @@ def _of(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return rows.join(F.broadcast(ids) if small else ids, rows[key] == ids["id"], "left_semi")
 
 
-def candidates(some: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
-    """(a, b): pairs of values of k, each once, that may be within the allowed edits of each other, from
-    lines (k, line); rows repeated in any number give one.
-
-    Rows meet on the hash of a segment. What met nothing is dropped where it arrives; what is left is
-    little, and keys with many members are dealt out in blocks of BLOCK by all of the key's members."""
+def meetings(some: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
+    """(h, k, s, x, c) as of ``keys`` for lines (k, line), for those hashes that several lines share and that
+    are a segment of one; c counts them. Lines repeated in any number give one. What met nothing is
+    dropped where it arrives, so that little is left."""
     size = F.length("line")
-    rows = some.select("k", "line", size.alias("length"), sketch(F.col("line")).alias("s")).where(edits(size, max_edits) >= 1)
+    s = F.when(size <= SKETCHED, sketch(F.col("line"))).otherwise(F.lit(0))
+    rows = some.select("k", "line", size.alias("length"), s.alias("s")).where(edits(size, max_edits) >= 1)
     same = Window.partitionBy("h")
     met = keys(rows, max_edits).repartition("h").dropDuplicates(["h", "k", "s", "x"])
     met = met.withColumns({"c": F.count("*").over(same), "own": F.max(F.col("x") % 2).over(same)})
-    met = materialize(met.where("c > 1 and own = 1").drop("own"))
+    return materialize(met.where("c > 1 and own = 1").drop("own"))
+
+
+def candidates(met: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
+    """(a, b): pairs of values of k, each once, that may be within the allowed edits of each other, from
+    ``meetings``. A hash with many members is dealt out in blocks of BLOCK, each
+    of which meets all of its members."""
     blocks = F.ceil(F.col("c") / BLOCK).cast("int")
     index = met.where("x % 2 = 1").select("h", F.col("k").alias("a"), F.col("s").alias("sa"), F.col("x").alias("xa"), F.pmod(F.xxhash64("k"), blocks).cast("int").alias("part"))
     probe = met.select(F.col("h").alias("ph"), F.col("k").alias("b"), F.col("s").alias("sb"), F.col("x").alias("xb"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("at"))
-    fits = (F.floor(F.col("xb") / 2) - F.floor(F.col("xa") / 2)).between(0, max_edits) & (F.col("a") != F.col("b"))
+    fits = (F.shiftright("xb", 1) - F.shiftright("xa", 1)).between(0, max_edits) & (F.col("a") != F.col("b"))
     pairs = index.join(probe, (F.col("h") == F.col("ph")) & (F.col("part") == F.col("at")) & fits & _alike(F.col("sa"), F.col("sb"), max_edits))
     return materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
@@ -219,11 +224,19 @@ def links(docs: DataFrame, found: DataFrame, id_col: str, text_col: str, max_edi
     once = where.select(*_keys(F.col("line")), "line").join(hot, is_hot, "left_semi").groupBy("k1", "k2").agg(F.first("line").alias("line"))
     texts = rows.join(hot, is_hot, "left_anti").unionByName(once)
     # k1 alone tells lines apart here; should two share it, both are compared
-    pairs = candidates(texts.select(F.col("k1").alias("k"), "line"), max_edits)
+    met = meetings(texts.select(F.col("k1").alias("k"), "line"), max_edits)
+    crowded = materialize(met.where((F.col("s") == 0) & (F.col("c") > CROWD)).select(F.col("k").alias("id")).distinct())
+    if not crowded.isEmpty():
+        known = _of(texts, crowded, "k1").dropDuplicates(["k1", "k2"]).groupBy("k1")
+        known = materialize(known.agg(F.collect_list(sketch(F.col("line"))).alias("of")))  # one; several where lines share k1
+        few = known.count() <= MAX_BROADCAST
+        met = met.join(F.broadcast(known) if few else known, F.col("k") == F.col("k1"), "left")
+        met = met.withColumn("s", F.when(F.size("of") == 1, F.col("of")[0]).otherwise(F.col("s"))).drop("k1", "of")
+    pairs = candidates(materialize(met), max_edits)
     ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    texts = as_table(_of(texts, ids, "k1").dropDuplicates(["k1", "k2"]))
-    left, right = (texts.select(F.col("k1").alias(f"{c}_k"), F.struct("k1", "k2").alias(f"{c}_key"), F.col("line").alias(f"{c}_line")) for c in "ab")
-    both = pairs.join(left, F.col("a") == F.col("a_k")).join(right, F.col("b") == F.col("b_k"))
+    texts = as_table(_of(texts, ids, "k1").dropDuplicates(["k1", "k2"]).withColumn("s", sketch(F.col("line"))))
+    left, right = (texts.select(F.col("k1").alias(f"{c}_k"), F.struct("k1", "k2").alias(f"{c}_key"), F.col("line").alias(f"{c}_line"), F.col("s").alias(f"{c}_s")) for c in "ab")
+    both = pairs.join(left, F.col("a") == F.col("a_k")).join(right, F.col("b") == F.col("b_k")).where(_alike(F.col("a_s"), F.col("b_s"), max_edits))
     swap = F.length("a_line") > F.length("b_line")
     both = both.select(
         F.col("a_key").alias("a"),

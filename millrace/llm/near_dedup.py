@@ -3,7 +3,7 @@
 Method. Texts with equal shingle sets are one class at once; only the classes' first documents are
 compared. Candidates are the SimHash links of ``simhash`` and the members of equal MinHash bands: of
 ``BANDS`` bands of ``ROWS`` rows, a pair that is 0.8 alike shares none once in a million. Every candidate
-is then verified by the two whole shingle sets, and only verified pairs become links, whose connected
+that the sets' sketches leave open is then verified by the two whole shingle sets, and only verified pairs become links, whose connected
 components are the groups.
 
 A band's members are first compared with one of them, in a few rounds; then each with each of those that
@@ -24,7 +24,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import simhash
-from millrace.llm.common import as_table, components, free_name, materialize
+from millrace.llm.common import as_table, components, materialize, spread_join
+from millrace.llm.exact_dedup import keep_rows, text_keys
 
 BANDS, ROWS = 35, 5
 #: Rounds in which a band's members are compared with one of them.
@@ -33,6 +34,8 @@ STAR_ROUNDS = 3
 MAX_BROADCAST = 1 << 17
 #: Shingles whose rows are minimised at once.
 BLOCK = 1 << 12
+#: Slots of a set's sketch.
+SLOTS = 512
 
 _words = [xxhash.xxh64_intdigest(f"row {i}".encode(), seed=simhash.SEED) for i in range(2 * BANDS * ROWS)]
 _XOR = np.array(_words[::2], np.uint64)[:, None]
@@ -64,33 +67,52 @@ def bands(hashes: np.ndarray) -> np.ndarray:
 
 
 def _banded(words_each: int):
+    """(id, t1, t2, text) to (id, t1, t2, w1, w2, fp, keys): w1 and w2 stand for the whole shingle set."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             whole, keys, fps = [], [], []
-            for t in batch.column(1).cast(pa.binary()):
+            for t in batch.column(3).cast(pa.binary()):
                 found = shingles(t.as_py(), words_each)
-                whole.append(hashlib.md5(found.tobytes()).digest())
+                whole.append(np.frombuffer(hashlib.md5(found.tobytes()).digest(), np.int64))
                 keys.append(bands(found).view(np.int64))
                 fps.append(simhash.simhash64(t.as_py(), words_each))
+            whole = np.array(whole, np.int64).reshape(-1, 2)
             flat = pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), flat)
             fp = pa.array(np.array(fps, np.uint64).view(np.int64))
-            yield pa.record_batch([batch.column(0), pa.array(whole, pa.binary()), fp, lists], names=["id", "whole", "fp", "keys"])
+            columns = [*(batch.column(k) for k in range(3)), pa.array(whole[:, 0].copy()), pa.array(whole[:, 1].copy()), fp, lists]
+            yield pa.record_batch(columns, names=["id", "t1", "t2", "w1", "w2", "fp", "keys"])
 
     return run
 
 
 def _sets(words_each: int):
+    """(row, text) to (row, s, sketch): the shingle set, and how many of its hashes fall into each of
+    SLOTS slots."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 256):
                 some = batch.slice(at, 256)
-                found = [shingles(t.as_py(), words_each).tobytes() for t in some.column(1).cast(pa.binary())]
-                yield pa.record_batch([some.column(0), pa.array(found, pa.binary())], names=["id", "s"])
+                found = [shingles(t.as_py(), words_each) for t in some.column(1).cast(pa.binary())]
+                slots = [np.minimum(np.bincount((x % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS), 255).astype(np.uint8).tobytes() for x in found]
+                whole = pa.array([x.tobytes() for x in found], pa.binary())
+                yield pa.record_batch([some.column(0), whole, pa.array(slots, pa.binary())], names=["row", "s", "sketch"])
 
     return run
 
 
+def maybe_alike(a: bytes, b: bytes, n: int, m: int, tenths: int) -> bool:
+    """Whether the sketches of two sets of n and m hashes leave it open that they are alike: what two
+    sets share falls into the same slots. A full slot (255) may hold any number."""
+    if 10 * min(n, m) < tenths * max(n, m):
+        return False
+    x, y = (np.frombuffer(c, np.uint8).astype(np.int64) for c in (a, b))
+    both = int(np.minimum(x, y).sum()) if max(x.max(), y.max()) < 255 else min(n, m)
+    return 10 * both >= tenths * (n + m - both)
+
+
 def alike(a: bytes, b: bytes, tenths: int) -> bool:
     """The Jaccard likeness of two sets of hashes is at least ``tenths`` / 10, in whole numbers."""
     n, m = len(a) // 8, len(b) // 8
@@ -100,6 +122,16 @@ def alike(a: bytes, b: bytes, tenths: int) -> bool:
     return 10 * both >= tenths * (n + m - both)
 
 
+def _screened(tenths: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("ka", "kb", "na", "nb")]
+            keep = [maybe_alike(*x, tenths) for x in zip(*columns)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def _verified(tenths: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,10 +141,10 @@ def _verified(tenths: int):
     return run
 
 
-def _of(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows whose id is in ``ids`` (materialized), without a shuffle of ``rows`` where those are few."""
+def _of(rows: DataFrame, ids: DataFrame, key: str = "row") -> DataFrame:
+    """The rows whose ``key`` is in ``ids`` (id; materialized), without a shuffle of ``rows`` where those are few."""
     small = ids.count() <= MAX_BROADCAST
-    return rows.join(F.broadcast(ids) if small else ids, "id", "left_semi")
+    return rows.join(F.broadcast(ids) if small else ids, rows[key] == ids["id"], "left_semi")
 
 
 def _labelled(members: DataFrame, found: DataFrame) -> DataFrame:
@@ -123,36 +155,50 @@ def _labelled(members: DataFrame, found: DataFrame) -> DataFrame:
     return rows.withColumns({"lo": F.min("root").over(every), "hi": F.max("root").over(every)}).where("lo < hi").select("key", "id", "root")
 
 
-def links(docs: DataFrame, rows: DataFrame, words_each: int, radius: int, tenths: int) -> DataFrame:
-    """Verified links (a, b) between ids that connect all pairs that are alike. ``docs``: (id, t);
-    ``rows``: (id, fp, keys) of the documents to compare."""
-    kind = docs.schema["id"].dataType.simpleString()
+def _pair(a: Column, b: Column) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+
+
+def links(texts: DataFrame, rows: DataFrame, words_each: int, radius: int, tenths: int) -> DataFrame:
+    """Verified links (a, b) between rows that connect all pairs that are alike. ``rows``: (row, t1, t2,
+    fp, keys) of the documents to compare; ``texts``: (t1, t2, t), among others theirs."""
     many = Window.partitionBy("key")
-    members = rows.select(F.explode("keys").alias("key"), "id").withColumn("_size", F.count("*").over(many))
+    members = rows.select(F.explode("keys").alias("key"), F.col("row").alias("id")).withColumn("_size", F.count("*").over(many))
     members = materialize(members.where("_size > 1").select("key", "id"))
 
-    def pair(a: Column, b: Column) -> list[Column]:
-        return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
-
     def star(rows: DataFrame, order: Column) -> DataFrame:
         """Each member with one of its band, if they are not connected."""
         seed = F.min(F.struct(order.alias("o"), "id", "root")).over(many)
         rows = rows.withColumn("seed", seed).where("root != seed.root")
-        return rows.select(*pair(F.col("id"), F.col("seed.id"))).distinct()
+        return rows.select(*_pair(F.col("id"), F.col("seed.id"))).distinct()
 
-    by_bits = simhash.links(materialize(rows.groupBy("fp").agg(F.min("id").alias("id"))), radius).select(*pair(F.col("a"), F.col("b")))
+    by_bits = simhash.links(materialize(rows.groupBy("fp").agg(F.min("row").alias("id"))), radius).select(*_pair(F.col("a"), F.col("b")))
     first = star(members.withColumn("root", F.col("id")), F.lit(0)).union(by_bits).where("a != b").distinct()
     first = materialize(first)
     # what a band holds may come up in any round
     ids = materialize(members.select("id").union(first.select("a")).union(first.select("b")).distinct())
-    sets = as_table(_of(docs, ids).select("id", "t").mapInArrow(_sets(words_each), f"id {kind}, s binary"))
+    wanted = materialize(_of(rows, ids).select("row", F.col("t1").alias("_1"), F.col("t2").alias("_2")))
+    small = wanted.count() <= MAX_BROADCAST
+    found = texts.join(F.broadcast(wanted) if small else wanted, (F.col("t1") == F.col("_1")) & (F.col("t2") == F.col("_2")))
+    sets = found.select("row", "t").mapInArrow(_sets(words_each), "row long, s binary, sketch binary")
+    sets = as_table(sets.dropDuplicates(["row"]))
+    sketches = sets.select("row", "sketch", (F.octet_length("s") / 8).cast("int").alias("n"))
+
+    def both(pairs: DataFrame, some: DataFrame, *columns: str) -> DataFrame:
+        a, b = (some.select(F.col("row").alias(f"_{c}"), *(F.col(x).alias(x[0] + c) for x in columns)) for c in "ab")
+        return pairs.join(a, F.col("a") == F.col("_a")).join(b, F.col("b") == F.col("_b")).drop("_a", "_b")
 
     def verified(pairs: DataFrame) -> DataFrame:
+        """First by the sketches, which move little; then by the whole sets of what is left."""
         pairs = materialize(pairs)
-        some = _of(sets, materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
-        a, b = (some.select(F.col("id").alias(f"_{c}"), F.col("s").alias(f"s{c}")) for c in "ab")
-        both = pairs.join(a, F.col("a") == F.col("_a")).join(b, F.col("b") == F.col("_b")).select("a", "b", "sa", "sb")
-        return materialize(both.mapInArrow(_verified(tenths), f"a {kind}, b {kind}"))
+        short = both(pairs, _of(sketches, _ends(pairs)).withColumnRenamed("sketch", "ketch"), "ketch", "n").select("a", "b", "ka", "kb", "na", "nb")
+        pairs = materialize(short.mapInArrow(_screened(tenths), "a long, b long"))
+        whole = both(pairs, _of(sets, _ends(pairs)), "s").select("a", "b", "sa", "sb")
+        return materialize(whole.mapInArrow(_verified(tenths), "a long, b long"))
 
     found = verified(first)
     for k in range(1, STAR_ROUNDS + 1):
@@ -164,30 +210,45 @@ def links(docs: DataFrame, rows: DataFrame, words_each: int, radius: int, tenths
         else:
             other = members.select(F.col("key").alias("_k"), F.col("id").alias("_i"), F.col("root").alias("_r"))
             met = (F.col("key") == F.col("_k")) & (F.col("id") < F.col("_i")) & (F.col("root") != F.col("_r"))
-            more = members.join(other, met).select(*pair(F.col("id"), F.col("_i"))).distinct()
+            more = members.join(other, met).select(*_pair(F.col("id"), F.col("_i"))).distinct()
         found = found.union(verified(more))
     return found
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = 5, radius: int = 6, tenths: int = 8) -> DataFrame:
-    """(id, component_id) of each row with an id: the least id reachable over pairs whose shingle sets
-    are at least ``tenths`` / 10 alike, itself included. Texts without words are alike; repeated rows share a component."""
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).where("id is not null")
+def grouped(docs: DataFrame, id_col: str, text_col: str, words_each: int, radius: int, tenths: int) -> DataFrame:
+    """(id, row, t1, t2, component_id, stays) of each row. Rows are told apart by numbers of their own."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    texts = docs.select(F.col(id_col).alias("id"), *text_keys(text), text.alias("t"))
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = materialize(texts.mapInArrow(_banded(words_each), f"id {kind}, whole binary, fp long, keys array<long>"))
-    firsts = rows.groupBy("whole").agg(F.min_by(F.struct("id", "fp", "keys"), "id").alias("x"))
-    firsts = materialize(firsts.select("whole", "x.*"))
-    found = links(texts, firsts.select("id", "fp", "keys"), words_each, radius, tenths)
-    same = rows.join(firsts.select(F.col("whole").alias("_w"), F.col("id").alias("_f")), F.col("whole") == F.col("_w"))
-    same = same.where("id != _f").select(F.col("id").alias("a"), F.col("_f").alias("b"))
-    of = components(found.union(same)).select(F.col("node").alias("_n"), F.col("root"))
-    ids = rows.select("id")
-    return ids.join(of, ids.id == of._n, "left").select("id", F.coalesce("root", "id").alias("component_id"))
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` without the near copies: of each component the least id stays (with all its
-    repeated rows; rows without an id stay as they name no component). All columns are kept."""
-    found = near_groups(docs, id_col, text_col, **how)
-    gone = found.where("id != component_id").select(F.col("id").alias(free_name(docs, "gone"))).distinct()
-    return docs.join(gone, docs[id_col] == gone[gone.columns[0]], "left_anti")
+    rows = texts.mapInArrow(_banded(words_each), f"id {kind}, t1 long, t2 long, w1 long, w2 long, fp long, keys array<long>")
+    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()))
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "row")
+    firsts = rows.groupBy("w1", "w2").agg(F.min_by(F.struct("row", "t1", "t2", "fp", "keys"), rank).alias("x"), F.min(rank).alias("best"), F.count("*").alias("n"))
+    firsts = materialize(firsts.select("w1", "w2", "best", "n", "x.*"))
+    found = links(texts.select("t1", "t2", "t"), firsts.select("row", "t1", "t2", "fp", "keys"), words_each, radius, tenths)
+    of = components(found).select(F.col("node").alias("_n"), "root")
+    classes = firsts.select("w1", "w2", "best", "n", "row").join(of, F.col("row") == F.col("_n"), "left")
+    classes = materialize(classes.select("w1", "w2", "best", "n", F.coalesce("root", "row").alias("root")))
+    least = classes.groupBy("root").agg(F.min("best").alias("least")).withColumnRenamed("root", "_r")
+    classes = classes.join(least, F.col("root") == F.col("_r")).select(F.col("w1").alias("_1"), F.col("w2").alias("_2"), "n", "least")
+    all_rows = rows.select("id", "row", "t1", "t2", "w1", "w2")
+    out = spread_join(all_rows, materialize(classes), {"w1": "_1", "w2": "_2"}, "n", F.xxhash64("row"))
+    return out.select("id", "row", "t1", "t2", F.col("least.id").alias("component_id"), (F.col("row") == F.col("least.row")).alias("stays"))
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = 5, radius: int = 6, tenths: int = 8) -> DataFrame:
+    """(id, component_id) of each row: the least id reachable over pairs whose shingle sets are at least
+    ``tenths`` / 10 alike, itself included. Texts without words (null, empty) are alike; repeated rows
+    share a component; an id that is null counts as greater than any other, and is the component's where
+    no row has another. Rows of other texts with the same id are rows of their own. An empty table gives
+    an empty result."""
+    return grouped(docs, id_col, text_col, words_each, radius, tenths).select("id", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = 5, radius: int = 6, tenths: int = 8) -> DataFrame:
+    """The rows of ``docs`` without the near copies: of each component exactly one row stays, that of the
+    least id (a null id last). All columns are kept. Rows are told apart by id and whole text, so another
+    text with the same id is left alone."""
+    found = grouped(docs, id_col, text_col, words_each, radius, tenths)
+    found = found.groupBy("id", "t1", "t2").agg(F.max("stays").alias("stays"), F.count("*").alias("n"))
+    return keep_rows(docs, materialize(found.where("n > 1 or not stays")), id_col, text_col)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import components, free_name, materialize
+from millrace.llm.common import components, materialize, spread_join
 
 SEED = 42
 #: Reference fingerprints: fixed pseudo-random 64-bit words, from a rule.
@@ -177,18 +177,12 @@ def near_duplicates(
     other than the two named are ignored, whatever their names.
     """
     fps = materialize(fingerprints(docs, id_col, text_col, words_each))
-    distinct = materialize(fps.where("id is not null").groupBy("fp").agg(F.min("id").alias("id")))
-    found = components(links(distinct, radius))
+    distinct = materialize(fps.groupBy("fp").agg(F.min("id").alias("id"), F.count("*").alias("n")))
+    some = distinct.where("id is not null")
+    found = components(links(some.select("fp", "id"), radius))
     joined = distinct.join(found, distinct.id == found.node, "left")
-    of = materialize(joined.select(F.col("fp").alias("f"), F.coalesce("root", "id").alias("component_id")))
-    return fps.join(of, fps.fp == of.f, "left").select(
+    of = materialize(joined.select(F.col("fp").alias("f"), F.coalesce("root", "id").alias("component_id"), "n"))
+    fps = fps.withColumn("at", F.monotonically_increasing_id())
+    return spread_join(fps, of, {"fp": "f"}, "n", F.xxhash64("at")).select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` without the near copies: of each component the least id stays (with all its
-    repeated rows; rows without an id stay as they name no component). All columns are kept."""
-    found = near_duplicates(docs, id_col, text_col, **how)
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(free_name(docs, "gone"))).distinct()
-    return docs.join(gone, docs[id_col] == gone[gone.columns[0]], "left_anti")
