@@ -6,9 +6,10 @@ compared. Candidates are the SimHash links of ``simhash`` and the members of equ
 that the sets' sketches leave open is then verified by the two whole shingle sets, and only verified pairs become links, whose connected
 components are the groups.
 
-A band's members are first compared with one of them, in a few rounds; then each with each of those that
-no link connects with it yet. So a band that holds many copies of one text costs pairs in proportion to
-its members, and no pair is left out that could connect anything.
+A band's members are first compared with one of them, in a few rounds, so that a band that holds many copies
+of one text costs pairs in proportion to its members. Then, of those that no link connects yet, the members
+of small bands are compared each with each, and all that are in some large band (which a passage brings
+together that many texts share) by a join on the rarest shingles of each, which loses no pair either.
 """
 
 from __future__ import annotations
@@ -33,9 +34,13 @@ STAR_ROUNDS = 3
 #: At most so many ids (8 bytes each) are broadcast; more are joined by a shuffle.
 MAX_BROADCAST = 1 << 17
 #: Shingles whose rows are minimised at once.
-BLOCK = 1 << 12
+CHUNK = 1 << 12
+#: Members of a token that one task compares with all of its members.
+BLOCK = 1 << 10
 #: Slots of a set's sketch.
-SLOTS = 512
+SLOTS = 256
+#: Bands with more members than this, not yet connected, are compared by their rarest shingles.
+SMALL = 8
 
 _words = [xxhash.xxh64_intdigest(f"row {i}".encode(), seed=simhash.SEED) for i in range(2 * BANDS * ROWS)]
 _XOR = np.array(_words[::2], np.uint64)[:, None]
@@ -57,8 +62,8 @@ def shingles(text: bytes | None, words_each: int) -> np.ndarray:
 def bands(hashes: np.ndarray) -> np.ndarray:
     """A key for each MinHash band of a set of shingle hashes."""
     least = np.full(BANDS * ROWS, ~np.uint64(0))
-    for at in range(0, len(hashes), BLOCK):
-        mixed = (hashes[None, at : at + BLOCK] ^ _XOR) * _TIMES
+    for at in range(0, len(hashes), CHUNK):
+        mixed = (hashes[None, at : at + CHUNK] ^ _XOR) * _TIMES
         mixed ^= mixed >> np.uint64(32)
         mixed *= _TIMES
         least = np.minimum(least, mixed.min(axis=1))
@@ -152,7 +157,85 @@ def _labelled(members: DataFrame, found: DataFrame) -> DataFrame:
     rows = members.select("key", "id").join(components(found).withColumnRenamed("node", "_n"), F.col("id") == F.col("_n"), "left")
     rows = rows.select("key", "id", F.coalesce("root", "id").alias("root"))
     every = Window.partitionBy("key")
-    return rows.withColumns({"lo": F.min("root").over(every), "hi": F.max("root").over(every)}).where("lo < hi").select("key", "id", "root")
+    rows = rows.withColumns({"lo": F.min("root").over(every), "hi": F.max("root").over(every), "size": F.count("*").over(every)})
+    return rows.where("lo < hi").select("key", "id", "root", "size")
+
+
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, set, root) to (id, root, n, token) for each hash of the set."""
+    for batch in batches:
+        for at in range(0, len(batch), 64):
+            some = batch.slice(at, 64)
+            found = [np.frombuffer(x.as_py(), np.int64) for x in some.column(1)]
+            n = np.array([len(x) for x in found], np.int64)
+            which = pa.array(np.repeat(np.arange(len(found)), n))
+            columns = [some.column(0).take(which), some.column(2).take(which), pa.array(np.repeat(n, n)), pa.array(np.concatenate(found))]
+            yield pa.record_batch(columns, names=["id", "root", "n", "token"])
+
+
+def prefix_pairs(sets: DataFrame, members: DataFrame, tenths: int) -> DataFrame:
+    """(a, b): all pairs of different roots that may be alike, among ``members`` (id, root, each once), by
+    the shingles that are rarest among them: two sets that are alike share one of the n - ceil(n * tenths /
+    10) + 1 rarest of each. Shingles that many share, as of a passage, come last in that order, so
+    they bring together those only that hold little else. Empty sets are not compared."""
+    some = _of(sets.select("row", "s"), members.select("id")).join(members, F.col("row") == F.col("id")).select("row", "s", "root")
+    tokens = as_table(some.where("octet_length(s) > 0").mapInArrow(_tokens, "id long, root long, n long, token long"))
+    common = materialize(tokens.groupBy(F.col("token").alias("_t")).agg(F.count("*").alias("df")).where("df > 1"))
+    ranked = spread_join(tokens, common, {"token": "_t"}, "df", F.xxhash64("id", "token"))
+    order = Window.partitionBy("id").orderBy(F.coalesce("df", F.lit(1)), "token")
+    ranked = ranked.withColumn("rank", F.row_number().over(order)).where("df > 1")
+    ranked = ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * tenths / 10) + 1).select("token", "id", "root", "n")
+    ranked = ranked.withColumn("parts", F.ceil(F.count("*").over(Window.partitionBy("token")) / BLOCK).cast("int"))
+    ranked = materialize(ranked.join(_of(sets.select("row", "sketch"), members.select("id")), F.col("id") == F.col("row")).drop("row"))
+    columns = ("id", "root", "n", "sketch")
+    index = ranked.select("token", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), F.lit(0).alias("probe"), *columns)
+    probe = ranked.select("token", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("probe"), *columns)
+    dealt = index.union(probe).repartition("token", "part").sortWithinPartitions("token", "part", "probe")
+    return dealt.mapInArrow(_met(tenths), "a long, b long").distinct()
+
+
+def _met(tenths: int):
+    """Rows (token, part, probe, id, root, n, sketch), sorted by the first three, to the pairs that their
+    sketches leave open. Memory: one batch, and the part of a token that the others are compared with."""
+
+    def open_pairs(x: tuple, y: tuple) -> np.ndarray:
+        near = (10 * x[2][:, None] >= tenths * y[2][None, :]) & (10 * y[2][None, :] >= tenths * x[2][:, None])
+        i, j = np.nonzero(near & (x[0][:, None] < y[0][None, :]) & (x[1][:, None] != y[1][None, :]))
+        keep = []
+        for at in range(0, len(i), 1 << 14):
+            p, q = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
+            s, t = x[3][p], y[3][q]
+            both = np.minimum(s, t).sum(axis=1, dtype=np.int64)
+            full = (s.max(axis=1) == 255) | (t.max(axis=1) == 255)
+            n, m = x[2][p], y[2][q]
+            both = np.where(full, np.minimum(n, m), both)
+            keep.append(10 * both >= tenths * (n + m - both))
+        keep = np.concatenate(keep) if keep else np.empty(0, bool)
+        return np.stack([x[0][i[keep]], y[0][j[keep]]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, index = None, []
+        for batch in batches:
+            token, part, probe, ids, roots, n = (batch.column(k).to_numpy() for k in range(6))
+            if not len(token):
+                continue
+            sketch = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint8).reshape(-1, SLOTS)
+            change = (token[1:] != token[:-1]) | (part[1:] != part[:-1]) | (probe[1:] != probe[:-1])
+            cuts = [0, *(np.flatnonzero(change) + 1), len(token)]
+            found = []
+            for lo, hi in zip(cuts, cuts[1:]):
+                now, some = (token[lo], part[lo]), tuple(c[lo:hi] for c in (ids, roots, n, sketch))
+                if now != key:
+                    key, index = now, []
+                if probe[lo] == 0:
+                    index.append(some)
+                else:
+                    found += [open_pairs(x, tuple(c[at : at + 256] for c in some)) for x in index for at in range(0, hi - lo, 256)]
+            if found:
+                a, b = np.concatenate(found, axis=1)
+                yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return run
 
 
 def _pair(a: Column, b: Column) -> list[Column]:
@@ -196,7 +279,10 @@ def links(texts: DataFrame, rows: DataFrame, words_each: int, radius: int, tenth
         """First by the sketches, which move little; then by the whole sets of what is left."""
         pairs = materialize(pairs)
         short = both(pairs, _of(sketches, _ends(pairs)).withColumnRenamed("sketch", "ketch"), "ketch", "n").select("a", "b", "ka", "kb", "na", "nb")
-        pairs = materialize(short.mapInArrow(_screened(tenths), "a long, b long"))
+        return by_sets(short.mapInArrow(_screened(tenths), "a long, b long"))
+
+    def by_sets(pairs: DataFrame) -> DataFrame:
+        pairs = materialize(pairs)
         whole = both(pairs, _of(sets, _ends(pairs)), "s").select("a", "b", "sa", "sb")
         return materialize(whole.mapInArrow(_verified(tenths), "a long, b long"))
 
@@ -208,9 +294,13 @@ def links(texts: DataFrame, rows: DataFrame, words_each: int, radius: int, tenth
         if k < STAR_ROUNDS:
             more = star(members, F.xxhash64(F.lit(k), "id"))
         else:
-            other = members.select(F.col("key").alias("_k"), F.col("id").alias("_i"), F.col("root").alias("_r"))
+            few = members.where(F.col("size") <= SMALL)
+            other = few.select(F.col("key").alias("_k"), F.col("id").alias("_i"), F.col("root").alias("_r"))
             met = (F.col("key") == F.col("_k")) & (F.col("id") < F.col("_i")) & (F.col("root") != F.col("_r"))
-            more = members.join(other, met).select(*_pair(F.col("id"), F.col("_i"))).distinct()
+            more = few.join(other, met).select(*_pair(F.col("id"), F.col("_i"))).distinct()
+            many_in = materialize(members.where(F.col("size") > SMALL).select("id", "root").distinct())
+            if not many_in.isEmpty():
+                found = found.union(by_sets(prefix_pairs(sets, many_in, tenths)))
         found = found.union(verified(more))
     return found
 
