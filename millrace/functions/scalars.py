@@ -35,8 +35,9 @@ def partition_backoff(retry_count: Column, most: float = 300.0) -> Column:
 
 
 def unit_hash(*keys: Column) -> Column:
-    """A reproducible stand-in for a random number in [0, 1): from the keys' hash."""
-    return F.shiftrightunsigned(F.xxhash64(*keys), 11).cast("double") / float(1 << 53)
+    """A reproducible stand-in for a random number in [0, 1): 52 bits of the keys' MD5."""
+    digest = F.md5(F.concat_ws("|", *(k.cast("string") for k in keys)).cast("binary"))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
 def jittered(delay: Column, how: str, u: Column, most: float = 300.0) -> Column:
@@ -145,21 +146,45 @@ def log_entry_bytes(topic: Column, data_bytes: Column) -> Column:
 # -- for people -----------------------------------------------------------------------------------------
 
 
+def _tenths(n: Column, unit: int) -> Column:
+    """n in units with one decimal, halves rounded up, in whole numbers."""
+    tenths = F.floor((n * 10 + unit // 2) / unit).cast("long")
+    return F.concat(F.floor(tenths / 10).cast("long").cast("string"), F.lit("."), (tenths % 10).cast("string"))
+
+
 def short_number(n: Column) -> Column:
-    """999, 1.2K, 3.4M."""
+    """999, 1.2K, 3.4M, for numbers that are not negative; halves are rounded up."""
     return (
-        F.when(n >= 1_000_000, F.format_string("%.1fM", n / 1e6))
-        .when(n >= 1_000, F.format_string("%.1fK", n / 1e3))
+        F.when(n >= 1_000_000, F.concat(_tenths(n, 1_000_000), F.lit("M")))
+        .when(n >= 1_000, F.concat(_tenths(n, 1_000), F.lit("K")))
         .otherwise(n.cast("string"))
     )
 
 
+def short_bytes(n: Column) -> Column:
+    """512 B, 1.5 KB, 3.0 MB: units of 1024."""
+    return (
+        F.when(n >= 1 << 20, F.concat(_tenths(n, 1 << 20), F.lit(" MB")))
+        .when(n >= 1 << 10, F.concat(_tenths(n, 1 << 10), F.lit(" KB")))
+        .otherwise(F.concat(n.cast("string"), F.lit(" B")))
+    )
+
+
+def time_ago(seconds: Column) -> Column:
+    """just now, 5m ago, 3h ago, 2d ago."""
+
+    def whole(unit: int, mark: str) -> Column:
+        return F.concat(F.floor(seconds / unit).cast("long").cast("string"), F.lit(f"{mark} ago"))
+
+    return F.when(seconds < 60, "just now").when(seconds < 3600, whole(60, "m")).when(seconds < 86_400, whole(3600, "h")).otherwise(whole(86_400, "d"))
+
+
 def short_duration(ms: Column) -> Column:
-    """850ms, 12.0s, 3.5m."""
+    """850ms, 12.0s, 3.5m, of whole milliseconds."""
     return (
-        F.when(ms < 1_000, F.format_string("%.0fms", ms * 1.0))
-        .when(ms < 60_000, F.format_string("%.1fs", ms / 1e3))
-        .otherwise(F.format_string("%.1fm", ms / 6e4))
+        F.when(ms < 1_000, F.concat(ms.cast("string"), F.lit("ms")))
+        .when(ms < 60_000, F.concat(_tenths(ms, 1_000), F.lit("s")))
+        .otherwise(F.concat(_tenths(ms, 60_000), F.lit("m")))
     )
 
 

@@ -63,3 +63,17 @@ def flow_control(state: DataFrame, prefetch: int, threshold: float = 0.3) -> Dat
     the prefetch after those in flight."""
     missing = F.greatest(F.lit(prefetch) - F.col("available") - F.col("in_flight"), F.lit(0))
     return state.withColumn("request", F.when(F.col("available") <= prefetch * threshold, missing).otherwise(0))
+
+
+def extension_decisions(asked: DataFrame, n: str, age_s: str, late_s: str, since_s: str, foreign: str, most: int = 10, lifetime_s: int = 600, grace_s: int = 5) -> DataFrame:
+    """The extension policies in their order: token, grace after the deadline, count, lifetime, and from
+    the second extension on a pause that grows by half each time. Refused requests have no length."""
+    pause = extension_seconds(F.col(n) - 1, base=1.0)
+    reason = (
+        F.when(F.col(foreign), "wrong token")
+        .when(F.col(late_s) > grace_s, "grace over")
+        .when(F.col(n) >= most, "too many extensions")
+        .when(F.col(age_s) > lifetime_s, "lifetime over")
+        .when((F.col(n) >= 1) & (F.col(since_s) < pause), "too soon")
+    )
+    return asked.withColumn("refused", reason).withColumn("next_s", F.when(F.col("refused").isNull(), extension_seconds(F.col(n))))

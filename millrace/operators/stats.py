@@ -79,10 +79,10 @@ def selections(selected: DataFrame) -> DataFrame:
     return selected.groupBy("partition_id").agg(F.count("*").alias("selections"))
 
 
-def worst_status(components: DataFrame) -> DataFrame:
-    """Counts by status and the worst over all."""
+def worst_status(components: DataFrame, by: list[str] = ()) -> DataFrame:
+    """Counts by status and the worst over all, or for each of ``by``."""
     level = F.when(F.col("status") == "unhealthy", 2).when(F.col("status") == "degraded", 1).otherwise(0)
-    out = components.agg(
+    out = components.groupBy(*by).agg(
         F.count_if(F.col("status") == "healthy").alias("healthy"),
         F.count_if(F.col("status") == "degraded").alias("degraded"),
         F.count_if(F.col("status") == "unhealthy").alias("unhealthy"),

@@ -107,20 +107,17 @@ def backoff_delays(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(f"""
-with {LINES} select how, bool_and(low and high) as within from (
-  select how, true as low, true as high from line, unnest(['full', 'equal', 'decorrelated']) u(how)) group by how
+with {LINES}, d as (
+  select message_id, case when retry_count <= 0 then 0.0 else least(power(2.0, retry_count - 1.0), 300.0) end::double as d,
+         ('0x' || substr(md5(message_id), 1, 13))::bigint::double / 4503599627370496.0 as u from line
+)
+select message_id, d as none_s, d * u as full_s, d / 2 + d / 2 * u as equal_s, d + greatest(least(d * 3, 300.0) - d, 0.0) * u as decorrelated_s from d
 """)
 def backoff_jitter(spark: SparkSession, folder: str) -> DataFrame:
-    """Whether each kind of jitter stays within its bounds on all rows."""
-    rows = views.produced_lines(spark, folder)
+    """The delay of each retry under each kind of jitter."""
     delay, u = scalars.exponential_backoff(F.col("retry_count")), scalars.unit_hash(F.col("message_id"))
-    bounds = {"full": (delay * 0, delay), "equal": (delay / 2, delay), "decorrelated": (delay, F.least(delay * 3, F.lit(300.0)))}
-    each = []
-    for how, (low, high) in bounds.items():
-        d = scalars.jittered(delay, how, u)
-        each.append(F.struct(F.lit(how).alias("how"), ((d >= low) & ((d < high) | (low == high))).alias("ok")))
-    rows = rows.select(F.explode(F.array(*each)).alias("x"))
-    return rows.groupBy("x.how").agg(F.bool_and("x.ok").alias("within"))
+    rows = views.produced_lines(spark, folder)
+    return rows.select("message_id", *(scalars.jittered(delay, how, u).alias(f"{how}_s") for how in ("none", "full", "equal", "decorrelated")))
 
 
 @query(f"""

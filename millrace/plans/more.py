@@ -147,13 +147,13 @@ def selection_counts(spark: SparkSession, folder: str) -> DataFrame:
 @query("""
 select s as service, count(*) filter (v < 10) as healthy, count(*) filter (v between 10 and 49) as degraded, count(*) filter (v > 49) as unhealthy,
   case when max(v) > 49 then 'unhealthy' when max(v) >= 10 then 'degraded' else 'healthy' end as overall
-from (select 'all' as s, floor(value)::int as v from events where event_id < 200) group by 1
+from (select event_type as s, floor(value)::int as v from events) group by 1
 """)
 def component_health(spark: SparkSession, folder: str) -> DataFrame:
     v = F.floor("value")
     status = F.when(v < 10, "healthy").when(v <= 49, "degraded").otherwise("unhealthy")
-    rows = read_table(spark, folder, "events").where("event_id < 200").select(status.alias("status"))
-    return stats.worst_status(rows).withColumn("service", F.lit("all"))
+    rows = read_table(spark, folder, "events").select(F.col("event_type").alias("service"), status.alias("status"))
+    return stats.worst_status(rows, ["service"])
 
 
 @query(f"""
@@ -222,11 +222,11 @@ def log_metrics(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""
-select ttl, least(greatest(case when ttl = 0 then 86400 else ttl end, 60), 604800) as clamped from (select (event_id * 97 % 1000000)::int as ttl from events where event_id < 500)
+select ttl, least(greatest(case when ttl = 0 then 86400 else ttl end, 60), 604800) as clamped from (select (event_id * 97 % 1000000)::int as ttl from events)
 union all select 0, 86400
 """)
 def ttl_clamp(spark: SparkSession, folder: str) -> DataFrame:
-    rows = read_table(spark, folder, "events").where("event_id < 500").select((F.col("event_id") * 97 % 1_000_000).cast("int").alias("ttl"))
+    rows = read_table(spark, folder, "events").select((F.col("event_id") * 97 % 1_000_000).cast("int").alias("ttl"))
     rows = rows.union(spark.range(1).select(F.lit(0)))
     return rows.select("ttl", scalars.ttl_clamped(F.col("ttl")).alias("clamped"))
 

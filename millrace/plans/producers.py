@@ -374,9 +374,11 @@ def op_sessions(spark: SparkSession, folder: str) -> DataFrame:
     return series.sessions(views.operations(spark, folder), "message_id", 21_600)
 
 
-@query(f"""
-with {LOG} select event_id as seq, case when event_id < 1000 then event_id::varchar else printf('%.1f', event_id / 1000.0) || 'K' end as short from events where event_id % 100 != 50
+@query("""
+select event_id as seq, case when event_id < 1000 then event_id::varchar
+  when event_id < 1000000 then ((event_id * 10 + 500) // 1000) // 10 || '.' || ((event_id * 10 + 500) // 1000) % 10 || 'K'
+  else ((event_id * 10 + 500000) // 1000000) // 10 || '.' || ((event_id * 10 + 500000) // 1000000) % 10 || 'M' end as short from events
 """)
 def short_numbers(spark: SparkSession, folder: str) -> DataFrame:
-    rows = read_table(spark, folder, "events").where("event_id % 100 != 50")
+    rows = read_table(spark, folder, "events")
     return rows.select(F.col("event_id").alias("seq"), scalars.short_number(F.col("event_id")).alias("short"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.plans import deliveries, live, more, producers, selection  # noqa: F401  they register their queries
+from millrace.plans import deliveries, live, lookups, more, producers, selection  # noqa: F401  they register their queries
 from millrace.plans.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

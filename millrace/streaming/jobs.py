@@ -67,6 +67,58 @@ def live_outcomes(stream: DataFrame, visibility_s: int = 30, extension_s: int =
     )
 
 
+def lease_expiries(stream: DataFrame, visibility_s: int = 30, grace_s: int = 2) -> DataFrame:
+    """(message_id, deadline_us) of each lease that ran out: a pop watches its message, another pop updates
+    the deadline, an acknowledgement ends the watch. A lease runs out some grace after its deadline, when
+    the message's next operation comes later than that or the watermark passes it; its state then goes, so
+    what is held are the live leases only."""
+    visibility, grace = visibility_s * 1_000_000, grace_s * 1000
+
+    def watch(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        out, held = [], state.get[0] if state.exists else None
+        if state.hasTimedOut:
+            out.append(held)
+            held = None
+        else:
+            rows = pd.concat(list(parts)).sort_values("seq")
+            for op, at in zip(rows["op"], rows["us"]):
+                if held is not None and (held // 1000) + grace < at // 1000:
+                    out.append(held)
+                    held = None
+                held = at + visibility if op == "POP" else None
+        if held is None:
+            state.remove()
+        else:
+            state.update((int(held),))
+            state.setTimeoutTimestamp(int(held) // 1000 + grace)
+        yield pd.DataFrame({"message_id": [key[0]] * len(out), "deadline_us": [int(x) for x in out]}).astype("int64")
+
+    rows = stream.where("op in ('POP', 'ACK')").withWatermark("ts", "0 seconds").withColumn("us", F.unix_micros("ts"))
+    return rows.groupBy("message_id").applyInPandasWithState(
+        watch, "message_id long, deadline_us long", "deadline long", "append", GroupStateTimeout.EventTimeTimeout
+    )
+
+
+def in_steps(spark: SparkSession, steps: list[DataFrame], job) -> DataFrame:
+    """The rows of an appending ``job`` (a function of a folder's stream) to which the steps' rows come one
+    after the other: each run takes up the state that the one before left in the checkpoint."""
+    target, out = _folder(spark), None
+    for step in steps:
+        step.write.mode("append").parquet(f"{target}/landing")
+        out = job(event_stream(spark, f"{target}/landing", 1 << 20))
+        run_once(out.writeStream.format("parquet").outputMode("append").option("path", f"{target}/rows"), f"{target}/checkpoint")
+    return spark.read.schema(out.schema).parquet(f"{target}/rows")
+
+
+def best_in_steps(spark: SparkSession, steps: list[DataFrame], messages, n: int, mode: str = "MIN") -> DataFrame:
+    """The best n of all steps' ``messages`` (a function of the stream), kept from step to step."""
+    target, found = _folder(spark), None
+    for step in steps:
+        step.write.mode("append").parquet(f"{target}/landing")
+        found = best_of_stream(spark, messages(event_stream(spark, f"{target}/landing", 1 << 20)), n, n, mode, f"{target}/best")
+    return found
+
+
 def merge_best(n: int, fanout: int, mode: str, sink: str):
     """For ``foreachBatch``: each batch's ready messages are merged with the best so far, first within
     partitions, then over them; what is kept is bounded by n."""
@@ -99,7 +151,14 @@ def run_once(writer: DataStreamWriter, checkpoint: str) -> None:
 def results(stream: DataFrame, folder: str | None = None) -> DataFrame:
     """Runs an appending stream to its present end into Parquet and returns the rows written."""
     spark = stream.sparkSession
-    base = folder or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-")
-    target = f"{base}/stream-{uuid.uuid4().hex}"
+    target = _folder(spark, folder)
     run_once(stream.writeStream.format("parquet").outputMode("append").option("path", f"{target}/rows"), f"{target}/checkpoint")
     return spark.read.schema(stream.schema).parquet(f"{target}/rows")
+
+
+def _folder(spark: SparkSession, folder: str | None = None) -> str:
+    """A new folder below the one that driver and executors share; one of this machine in local mode only."""
+    base = folder or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{base or tempfile.mkdtemp(prefix='millrace-')}/stream-{uuid.uuid4().hex}"
