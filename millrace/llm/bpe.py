@@ -85,10 +85,19 @@ class PrefixTable:
                 raise ValueError(f"the vocabulary has no token for byte {data[end - 1]}")
 
     def edit(self, start: int, end: int, new: bytes) -> None:
-        """Bytes start..end become ``new``; prefixes up to ``start`` are kept."""
-        tail = self.data[end:]
+        """Bytes start..end become ``new``. Prefixes up to ``start`` are kept, and so are those behind the
+        edit from where as many last tokens in a row as the longest token has bytes are what they were: a
+        last token depends on no more than that."""
+        tail, old = self.data[end:], self.last[end + 1 :]
+        step = max(64, self.vocabulary.longest)
         self.data, self.last = self.data[:start], self.last[: start + 1]
-        self.append(new + tail)
+        self.append(new)
+        for at in range(0, len(tail), step):
+            self.append(tail[at : at + step])
+            if len(tail) >= at + step and self.last[-step:] == old[at : at + step]:
+                self.data += tail[at + step :]
+                self.last += old[at + step :]
+                return
 
     def ids(self) -> list[int]:
         out, end = [], len(self.data)
@@ -99,12 +108,15 @@ class PrefixTable:
 
 
 class Recent(dict):
-    """A cache of two generations: when the young one is full it becomes the old one."""
+    """A cache of two generations: when the young one is full it becomes the old one. Long keys are not
+    kept, so that the number of entries bounds its bytes."""
 
-    def __init__(self, make, most: int):
-        self.make, self.most, self.old = make, most, {}
+    def __init__(self, make, most: int, longest: int = 256):
+        self.make, self.most, self.old, self.longest = make, most, {}, longest
 
     def __missing__(self, key):
+        if len(key) > self.longest:
+            return self.make(key)
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
@@ -147,7 +159,8 @@ class Encoder(Cutter):
 
     def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN, most: int = 1 << 18):
         super().__init__(self._piece, most)
-        self.find = regex.compile(pattern).findall
+        compiled = regex.compile(pattern)
+        self.find, self.matcher = compiled.findall, compiled.finditer
         self.matches = Recent(self._match, most)
         self.vocabulary = Vocabulary(path)
         self.tokens = [self.vocabulary.tokens.get(i, b"") for i in range(max(self.vocabulary.tokens) + 1)]
@@ -158,6 +171,24 @@ class Encoder(Cutter):
     def _match(self, match: str) -> bytes:
         return array("I", PrefixTable(self.vocabulary, match.encode()).ids()).tobytes()
 
+    def edited(self, text: str, ids: bytes, start: int, end: int, new: str) -> tuple[str, bytes]:
+        """The text with code points start..end replaced, and its ids from those of the text: only matches
+        near the edit are encoded again. Matches before the last two that end ahead of the edit do not see
+        it; behind the edit, old matches hold from the first place where an old and a new one end together."""
+        after = text[:start] + new + text[end:]
+        old = [m.span() for m in self.matcher(text)]
+        ahead = max(0, sum(e < start for _, e in old) - 2)
+        begin, shift, old_ends = old[ahead][0] if ahead < len(old) else 0, len(after) - len(text), {e: k for k, (_, e) in enumerate(old)}
+        fresh, rest = [], len(old)
+        for m in self.matcher(after, begin):
+            fresh.append(self.matches[m[0]])
+            if m.end() > start + len(new) and (k := old_ends.get(m.end() - shift)) is not None and m.end() - shift >= end:
+                rest = k + 1
+                break
+        sizes = [len(self.matches[text[a:b]]) for a, b in (*old[:ahead], *old[rest:])]
+        head, tail = sum(sizes[:ahead]), sum(sizes[ahead:])
+        return after, ids[:head] + b"".join(fresh) + (ids[len(ids) - tail :] if tail else b"")
+
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, memoryview(ids).cast("I")))
 

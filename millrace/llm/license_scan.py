@@ -23,7 +23,8 @@ from millrace.llm.common import any_of, materialize
 WORDS_EACH, CONTAINMENT, MISS = 5, 0.8, 1e-9
 WORD = r"[\p{L}\p{N}]+"
 
-#: Notices by license: the short statements in use, and the beginnings of the longer texts.
+#: Fixed texts. Notices by license: the short statements in use, the whole texts of the short licenses, and
+#: the statements by which the long ones (Apache, GPL, LGPL, AGPL, MPL, Creative Commons) are applied.
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
@@ -49,6 +50,65 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    (
+        "MIT",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "
+        '"Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, '
+        "distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to "
+        "the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions "
+        'of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE '
+        "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE "
+        "LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN "
+        "CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+    (
+        "ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the "
+        'above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL '
+        "WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE "
+        "LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, "
+        "WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ),
+    (
+        "BSD",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        "documentation and/or other materials provided with the distribution.",
+    ),
+    (
+        "BSD-3-Clause",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
+        "software without specific prior written permission.",
+    ),
+    (
+        "Zlib",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages "
+        "arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial "
+        "applications, and to alter it and redistribute it freely, subject to the following restrictions",
+    ),
+    (
+        "Unlicense",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or "
+        "distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ),
+    (
+        "Apache-2.0",
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may '
+        "obtain a copy of the License at",
+    ),
+    (
+        "LGPL",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+        "published by the Free Software Foundation",
+    ),
+    (
+        "AGPL",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as "
+        "published by the Free Software Foundation",
+    ),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
 )
 #: Words that are everywhere, so poor ones to look for.
 EVERYWHERE = frozenset("a an and any are as at by for from in is it may not of on or that the this to was with you".split())
@@ -75,8 +135,10 @@ class Template:
 
 
 def templates(texts: tuple[tuple[str, str], ...] = TEMPLATES) -> list[Template]:
-    """Templates without any word are left out."""
+    """Templates without any word are left out; others need a shingle's words at least."""
     cut = [(name, tuple(re.findall(r"[^\W_]+", text.lower()))) for name, text in texts]
+    if any(0 < len(words) < WORDS_EACH for _, words in cut):
+        raise ValueError(f"templates need {WORDS_EACH} words")
     return [Template(k, name, words) for k, (name, words) in enumerate(cut) if words]
 
 
@@ -137,8 +199,7 @@ def scan(
     """One row per row of ``docs`` and template found in it: (id, template, license, containment,
     first_word, n_windows).
 
-    ``containment`` is the greatest share of the template's shingles (five words; a shorter template
-    whole) in one window, first_word the first word (from 0) of the first window with at least the
+    ``containment`` is the greatest share of the template's shingles (five words) in one window, first_word the first word (from 0) of the first window with at least the
     threshold's share, n_windows the number of such windows. Null, empty and wordless texts have none;
     repeated rows are scanned each; without templates or rows the result is empty. Other columns are
     ignored.
@@ -158,8 +219,8 @@ def scan(
     known = frame.select("template_hashes").collect()  # the templates' own, a fixed number
     known = sorted({h for r in known for h in r[0]})
     places = F.filter(F.transform("x.s", lambda h, i: F.when(h.isin(known), i)), lambda i: i.isNotNull())
-    rows = rows.select("id", "row", F.col("x.s").alias("s"), F.col("x.n").alias("n"), places.alias("places"))
-    rows = materialize(rows).where(F.size("places") > 0)  # few documents come so far
+    rows = rows.select("id", "row", F.col("x.s").alias("s"), F.col("x.n").alias("n"), F.explode(F.array(places)).alias("places"))
+    rows = materialize(rows.where(F.size("places") > 0))  # few documents come so far
     sizes = sorted({len(t.words) for t in some})
     looks = [(m, -(-m // 2), m + -(-m // 2), *bands(m, m + -(-m // 2), containment)) for m in sizes]
     names = ("m", "stride", "span", "n_bands", "each")

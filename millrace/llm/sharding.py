@@ -42,6 +42,17 @@ def shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limi
     return _sharded(docs, id_col, text_col, limit).drop("_row")
 
 
+def _first_fit(rows: DataFrame, depth: int, limit: int) -> int:
+    """A depth above which no bucket fits: it is looked for upward from a guess. What does not fit makes
+    all above it not fit, so nothing above needs to be looked at, and no bucket gathers all cells."""
+    while depth > 0:
+        nodes = rows.groupBy(F.substring("bits", 1, depth)).agg(F.sum("n_bytes").alias("b"), F.count("*").alias("n"))
+        if nodes.where((F.col("b") <= limit) | (F.col("n") == 1)).isEmpty():
+            return depth + 1
+        depth = max(0, depth - 4)
+    return 0
+
+
 def _sharded(docs: DataFrame, id_col: str, text_col: str, limit: int) -> DataFrame:
     row = docs.select(
         F.col(id_col).alias("id"),
@@ -51,7 +62,8 @@ def _sharded(docs: DataFrame, id_col: str, text_col: str, limit: int) -> DataFra
     row = row.withColumn("bits", hash_bits(F.col("id"), F.col("_row")))
     pending = materialize(row)
     total = pending.agg(F.sum("n_bytes")).first()[0] or 0
-    low, high, found = 0, min(ID_BITS, max(1, total // limit).bit_length() + 6), []
+    high, found = min(ID_BITS, max(1, total // limit).bit_length() + 6), []
+    low = _first_fit(pending, max(0, high - 10), limit)
     while True:
         cell = F.substring("bits", 1, high) if high else F.lit("")
         cells = materialize(pending.groupBy(cell.alias("cell")).agg(F.sum("n_bytes").alias("b"), F.count("*").alias("n")))

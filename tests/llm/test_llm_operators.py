@@ -82,6 +82,26 @@ def test_prefix_table_appends_and_edits(encoder):
         assert table.ids() == bpe.PrefixTable(encoder.vocabulary, data[:a] + b"xyz" + (data + more)[b:]).ids()
 
 
+def test_texts_edited_in_place(encoder, library):
+    rng = random.Random(21)
+    alphabet = " \t\n abcAB'st1,.é漢"
+    for _ in range(1500):
+        text, new = ("".join(rng.choice(alphabet) for _ in range(rng.randint(0, n))) for n in (40, 5))
+        a, b = sorted(rng.randint(0, len(text)) for _ in range(2))
+        after, ids = encoder.edited(text, encoder.encode(text), a, b, new)
+        assert after == text[:a] + new + text[b:] and list(np.frombuffer(ids, "<u4")) == library.encode_ordinary(after), (text, a, b, new)
+
+
+def test_edit_stops_where_nothing_changes(encoder):
+    data = ("the quick brown fox and " * 400).encode()
+    table = bpe.PrefixTable(encoder.vocabulary, data)
+    asked = []
+    append, table.append = table.append, lambda more: (asked.append(len(more)), append(more))
+    table.edit(10, 12, b"xy")
+    assert sum(asked) < 4 * max(64, encoder.vocabulary.longest)
+    assert table.ids() == bpe.PrefixTable(encoder.vocabulary, data[:10] + b"xy" + data[12:]).ids()
+
+
 def test_bpe_rows(spark, hard, empty, library):
     found = bpe.round_trip(hard).collect()
     assert len(found) == len(HARD) + 2
@@ -352,6 +372,10 @@ def test_license_scan(spark, hard, empty):
     assert all(r["containment"] >= 0.8 for r in found)
     assert license_scan.scan(hard).count() == license_scan.scan(empty).count() == 0
     assert license_scan.scan(documents(spark, texts), texts=()).count() == 0
+    twice = documents(spark, texts).union(documents(spark, texts[:1])).withColumns({"row": F.lit("x"), "s": F.lit(1), "license": F.lit(None).cast("string")})
+    assert license_scan.scan(twice).where("template = 2").count() == 3
+    with pytest.raises(ValueError):
+        license_scan.templates((("MIT", "MIT License"),))
     for t in license_scan.templates():
         n, rows = license_scan.bands(len(t.words), t.window)
         size, shared = max(1, len(t.words) - 4), math.ceil(0.8 * max(1, len(t.words) - 4))
@@ -477,6 +501,32 @@ def test_html(spark):
     assert html_text.extract(rows.limit(0)).count() == 0
 
 
+PROSE = "<p>A long paragraph of the article, with commas, and some more words, so that it counts.</p>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<nav><a>m</a></nav><div class='content has-ads'>{PROSE * 5}</div>",
+        f"<div class='post-content comments-open'>{PROSE * 5}</div><div class='comment'>{PROSE[:40]}</div>",
+        f"<body><form action='/x'><input><label>l</label><div>{PROSE * 5}</div></form></body>",
+        f"<div class='widget'>{PROSE * 5}</div>",
+        f"<body><article><header></header>{PROSE * 5}</article><form><p>Send, send.</p></form></body>",
+    ],
+)
+def test_html_keeps_articles(page):
+    assert html_text.main_text(page) == " ".join([PROSE[3:-4]] * 5)
+
+
+def test_html_keeps_siblings():
+    lead = "<div class='lead'><p>The lead stands alone in its own container, but it is a part of the article as well, of course.</p></div>"
+    page = f"<body><h1>Title</h1><p>Short lead.</p>{lead}<div>{PROSE * 30}</div><pre>code(here)</pre><div><a href='/'>more links, more, more</a></div></body>"
+    found = html_text.main_text(page)
+    assert found.startswith("Title Short lead. The lead stands") and found.endswith("code(here)") and "more links" not in found
+    assert html_text.main_text(f"<article><header><h1>T</h1></header>{PROSE}</article>") == "T " + PROSE[3:-4]
+    assert len(html_text.main_text("<div><p>word, word</p>" * 20_000)) == 20_000 * 11 - 1
+
+
 @pytest.fixture(scope="module")
 def graded(spark):
     rng = random.Random(13)
