@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 SPACES = r"[\x20\x09-\x0D]"
 #: A key with more than one row in so many is hot; so there are fewer hot keys than this.
 HOT_SHARE = 1000
+#: Edges of a graph that are kept in one file.
+ROWS_A_FILE = 1 << 16
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -109,6 +111,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         rest = large.join(least.withColumnRenamed("u", "k"), F.col("u") == F.col("k"))
         small = rest.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
-        e = materialize(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+        e = small.union(least.select("u", F.col("m").alias("v"))).distinct()
+        e = materialize(e.coalesce(now[0] // ROWS_A_FILE + 1))  # few edges in few files
     nodes = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return nodes.union(e.select("v", "v").distinct())

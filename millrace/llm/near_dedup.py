@@ -6,9 +6,8 @@ compared. Candidates are the SimHash links of ``simhash`` and the members of equ
 that the sets' sketches leave open is then verified by the two whole shingle sets, and only verified pairs become links, whose connected
 components are the groups.
 
-A band's members are first compared with one of them, in a few rounds, so that a band that holds many copies
-of one text costs pairs in proportion to its members. Then, of those that no link connects yet, the members
-of small bands are compared each with each, and all that are in some large band (which a passage brings
+A band's members are first compared with one of them each, so that a band that holds many copies of one text
+costs pairs in proportion to its members. Then, of those that no link connects yet, the members of small bands are compared each with each, and all that are in some large band (which a passage brings
 together that many texts share) by a join on the rarest shingles of each, which loses no pair either.
 """
 
@@ -29,8 +28,8 @@ from millrace.llm.common import as_table, components, materialize, spread_join
 from millrace.llm.exact_dedup import keep_rows, text_keys
 
 BANDS, ROWS = 35, 5
-#: Rounds in which a band's members are compared with one of them.
-STAR_ROUNDS = 3
+#: With so many of its bands' least members each member is compared first.
+SEEDS = 4
 #: At most so many ids (8 bytes each) are broadcast; more are joined by a shuffle.
 MAX_BROADCAST = 1 << 17
 #: Shingles whose rows are minimised at once.
@@ -152,9 +151,10 @@ def _of(rows: DataFrame, ids: DataFrame, key: str = "row") -> DataFrame:
     return rows.join(F.broadcast(ids) if small else ids, rows[key] == ids["id"], "left_semi")
 
 
-def _labelled(members: DataFrame, found: DataFrame) -> DataFrame:
-    """The members (key, id) of the bands that are not connected yet, with their root."""
-    rows = members.select("key", "id").join(components(found).withColumnRenamed("node", "_n"), F.col("id") == F.col("_n"), "left")
+def _labelled(members: DataFrame, of: DataFrame) -> DataFrame:
+    """The members (key, id) of the bands that are not connected yet, with their root and the band's size.
+    ``of``: (node, root) of connected rows."""
+    rows = members.select("key", "id").join(of.withColumnRenamed("node", "_n"), F.col("id") == F.col("_n"), "left")
     rows = rows.select("key", "id", F.coalesce("root", "id").alias("root"))
     every = Window.partitionBy("key")
     rows = rows.withColumns({"lo": F.min("root").over(every), "hi": F.max("root").over(every), "size": F.count("*").over(every)})
@@ -253,17 +253,14 @@ def links(texts: DataFrame, rows: DataFrame, words_each: int, radius: int, tenth
     members = rows.select(F.explode("keys").alias("key"), F.col("row").alias("id")).withColumn("_size", F.count("*").over(many))
     members = materialize(members.where("_size > 1").select("key", "id"))
 
-    def star(rows: DataFrame, order: Column) -> DataFrame:
-        """Each member with one of its band, if they are not connected."""
-        seed = F.min(F.struct(order.alias("o"), "id", "root")).over(many)
-        rows = rows.withColumn("seed", seed).where("root != seed.root")
-        return rows.select(*_pair(F.col("id"), F.col("seed.id"))).distinct()
-
-    by_bits = simhash.links(materialize(rows.groupBy("fp").agg(F.min("row").alias("id"))), radius).select(*_pair(F.col("a"), F.col("b")))
-    first = star(members.withColumn("root", F.col("id")), F.lit(0)).union(by_bits).where("a != b").distinct()
-    first = materialize(first)
-    # what a band holds may come up in any round
-    ids = materialize(members.select("id").union(first.select("a")).union(first.select("b")).distinct())
+    # each member with those least members of its bands with which it shares the most bands
+    seeds = members.withColumn("seed", F.min("id").over(many)).where("id != seed")
+    seeds = seeds.groupBy("id", "seed").agg(F.count("*").alias("shared")).groupBy("id")
+    seeds = seeds.agg(F.slice(F.sort_array(F.collect_list(F.struct("shared", "seed")), asc=False), 1, SEEDS).alias("s"))  # a band each at most
+    first = materialize(seeds.select(F.col("id").alias("b"), F.explode("s.seed").alias("a")).select("a", "b"))
+    by_bits = simhash.links(materialize(rows.groupBy("fp").agg(F.min("row").alias("id"))), radius)
+    by_bits = materialize(by_bits.select(*_pair(F.col("a"), F.col("b"))).where("a != b").distinct())
+    ids = materialize(members.select("id").union(by_bits.select("a")).union(by_bits.select("b")).distinct())
     wanted = materialize(_of(rows, ids).select("row", F.col("t1").alias("_1"), F.col("t2").alias("_2")))
     small = wanted.count() <= MAX_BROADCAST
     found = texts.join(F.broadcast(wanted) if small else wanted, (F.col("t1") == F.col("_1")) & (F.col("t2") == F.col("_2")))
@@ -287,21 +284,20 @@ def links(texts: DataFrame, rows: DataFrame, words_each: int, radius: int, tenth
         return materialize(whole.mapInArrow(_verified(tenths), "a long, b long"))
 
     found = verified(first)
-    for k in range(1, STAR_ROUNDS + 1):
-        members = materialize(_labelled(members, found))
-        if members.isEmpty():
-            return found
-        if k < STAR_ROUNDS:
-            more = star(members, F.xxhash64(F.lit(k), "id"))
-        else:
-            few = members.where(F.col("size") <= SMALL)
-            other = few.select(F.col("key").alias("_k"), F.col("id").alias("_i"), F.col("root").alias("_r"))
-            met = (F.col("key") == F.col("_k")) & (F.col("id") < F.col("_i")) & (F.col("root") != F.col("_r"))
-            more = few.join(other, met).select(*_pair(F.col("id"), F.col("_i"))).distinct()
-            many_in = materialize(members.where(F.col("size") > SMALL).select("id", "root").distinct())
-            if not many_in.isEmpty():
-                found = found.union(by_sets(prefix_pairs(sets, many_in, tenths)))
-        found = found.union(verified(more))
+    of = materialize(components(found))
+    members = materialize(_labelled(members, of))
+    few = members.where(F.col("size") <= SMALL)
+    other = few.select(F.col("key").alias("_k"), F.col("id").alias("_i"), F.col("root").alias("_r"))
+    met = (F.col("key") == F.col("_k")) & (F.col("id") < F.col("_i")) & (F.col("root") != F.col("_r"))
+    more = few.join(other, met).select(*_pair(F.col("id"), F.col("_i")))
+    for c in "ab":
+        root = of.select(F.col("node").alias(f"_{c}"), F.col("root").alias(f"r{c}"))
+        by_bits = by_bits.join(root, F.col(c) == F.col(f"_{c}"), "left").drop(f"_{c}")
+    apart = F.coalesce("ra", "a") != F.coalesce("rb", "b")
+    found = found.union(verified(more.union(by_bits.where(apart).select("a", "b")).distinct()))
+    many_in = materialize(members.where(F.col("size") > SMALL).select("id", "root").distinct())
+    if not many_in.isEmpty():
+        found = found.union(by_sets(prefix_pairs(sets, many_in, tenths)))
     return found
 
 
