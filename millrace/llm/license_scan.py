@@ -210,7 +210,8 @@ def scan(
     if not some:
         return spark.createDataFrame([], schema)
     text = F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    rows = docs.where(F.rlike(text, F.lit(any_of(hitting_words(some))))).select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), text.alias("t"))
+    hits = rf"(?<![\p{{L}}\p{{N}}])(?:{any_of(hitting_words(some))})(?![\p{{L}}\p{{N}}])"
+    rows = docs.where(F.rlike(text, F.lit(hits))).select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), text.alias("t"))
     rows = rows.select("id", "row", F.regexp_extract_all("t", F.lit(WORD), F.lit(0)).alias("w")).where(F.size("w") > 0)
     # by way of explode, which keeps the words from being cut anew for every shingle
     rows = rows.select("id", "row", F.explode(F.array(F.struct("w"))).alias("x")).select("id", "row", "x.w")
