@@ -25,7 +25,7 @@ LETTERS = "entairsodhlucmg"
 SKETCHED, CROWD = 96, 64
 #: Members of a key that one task compares with all of the key's members.
 BLOCK = 1 << 10
-#: At most so many ids (8 bytes each) are broadcast; more are joined by a shuffle.
+#: At most so many rows (one to four longs) are broadcast; more are joined by a shuffle.
 MAX_BROADCAST = 1 << 19
 
 
