@@ -53,13 +53,18 @@ def enqueue_error(topic: Column, payload: Column, priority: Column, delay_s: Col
     )
 
 
+def bad_replication(replication: Column) -> tuple[Column, str]:
+    return (replication < 1) | (replication > 7), "replication out of range"
+
+
 def topic_error(
     name: Column, partitions: Column, replication: Column, bound: Column, retention_s: Column, visibility_s: Column, max_payload: Column
 ) -> Column:
+    """A bound that is null, of a topic that has none of its own, is not checked."""
     return first_failure(
         (~F.coalesce(name, F.lit("")).rlike("^[a-zA-Z0-9_-]+$") | (F.length(name) > 255), "bad name"),
         ((partitions < 1) | (partitions > 1000), "partitions out of range"),
-        ((replication < 1) | (replication > 7), "replication out of range"),
+        bad_replication(replication),
         (replication > partitions, "replication over partitions"),
         ((bound < 1) | (bound > 10_000), "bound out of range"),
         ((retention_s <= 0) | (retention_s > 365 * 86_400), "retention out of range"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import scalars
 from millrace.operators import catalog, deadletter, delivery, ordering, producers, routing, series, transactions, validity
+from millrace.plans import registry
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -174,3 +175,21 @@ def test_message_validation_order(spark):
     rows = spark.createDataFrame([("", "", None), ("i", "", "p"), ("i", "t", ""), ("i", "t", "p" * 9), ("i", "t", "p")], "i string, t string, p string")
     error = validity.message_error(F.col("i"), F.col("t"), F.col("p"), F.lit(T0), 8)
     assert [r[0] for r in rows.select(error).collect()] == ["id required", "topic required", "payload required", "payload too large", None]
+
+
+@pytest.mark.parametrize("name", ["topic_fanout", "topic_validate"])
+def test_topics_of_many_parts_match_sql(spark, tmp_path, name):
+    """More parts of a brand than a configured bound may be."""
+    duckdb = pytest.importorskip("duckdb")
+    parts = spark.range(10_006).select(F.col("id").alias("p_partkey"), F.when(F.col("id") < 4, "Brand-1").otherwise("Brand-22").alias("p_brand"), (F.col("id") % 50 + 1).cast("int").alias("p_size"))
+    parts.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view part as select * from '{tmp_path}/part.parquet/*.parquet'")
+    found = registry.QUERIES[name](spark, str(tmp_path))
+    assert sorted(map(tuple, found.collect())) == sorted(con.sql(f"select {', '.join(found.columns)} from ({registry.ORACLES[name]}) o").fetchall())
+
+
+def test_topic_bound_is_limited(spark):
+    error = validity.topic_error(F.lit("t"), F.lit(1), F.lit(1), F.col("b"), F.lit(1), F.lit(1), F.lit(1))
+    rows = spark.createDataFrame([(10_000,), (10_001,), (None,)], "b int")
+    assert [r[0] for r in rows.select(error).collect()] == [None, "bound out of range", None]
