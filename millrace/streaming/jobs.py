@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ from millrace.operators.ordering import candidates, order, ranked_result, top_n
 from millrace.sources.views import OPERATIONS
 
 EVENT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+#: Messages that share a call and its state; a checkpoint is bound to the number.
+BUCKETS = 256
 
 
 def event_stream(spark: SparkSession, folder: str, files_each: int = 1) -> DataFrame:
@@ -71,31 +74,47 @@ def lease_expiries(stream: DataFrame, visibility_s: int = 30, grace_s: int = 2)
     """(message_id, deadline_us) of each lease that ran out: a pop watches its message, another pop updates
     the deadline, an acknowledgement ends the watch. A lease runs out some grace after its deadline, when
     the message's next operation comes later than that or the watermark passes it; its state then goes, so
-    what is held are the live leases only."""
+    what is held are the live leases only.
+
+    Messages share state and timer by bucket, as a call for each message costs far more than what it does:
+    a bucket holds the live leases of its messages, and its timer is that of the first to run out."""
     visibility, grace = visibility_s * 1_000_000, grace_s * 1000
 
     def watch(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        out, held = [], state.get[0] if state.exists else None
-        if state.hasTimedOut:
-            out.append(held)
-            held = None
-        else:
+        ids, deadlines = np.frombuffer(state.get[0] if state.exists else b"", np.int64).reshape(2, -1)
+        out = []
+        if not state.hasTimedOut:
             rows = pd.concat(list(parts)).sort_values("seq")
-            for op, at in zip(rows["op"], rows["us"]):
-                if held is not None and (held // 1000) + grace < at // 1000:
-                    out.append(held)
-                    held = None
-                held = at + visibility if op == "POP" else None
-        if held is None:
+            at = rows["us"].to_numpy()
+            # what is held comes first, then the operations as they follow each other; -1: nothing to watch
+            ids = np.concatenate([ids, rows["message_id"].to_numpy()])
+            deadlines = np.concatenate([deadlines, np.where(rows["op"] == "POP", at + visibility, -1)])
+            at = np.concatenate([np.zeros(len(ids) - len(at), np.int64), at])
+            order = np.argsort(ids, kind="stable")
+            ids, deadlines, at = ids[order], deadlines[order], at[order]
+            last = np.append(ids[1:] != ids[:-1], True)
+            late = ~last & (deadlines >= 0) & (deadlines // 1000 + grace < np.append(at[1:], 0) // 1000)
+            out.append((ids[late], deadlines[late]))
+            held = last & (deadlines >= 0)
+            ids, deadlines = ids[held], deadlines[held]
+        over = deadlines // 1000 + grace < state.getCurrentWatermarkMs()
+        out.append((ids[over], deadlines[over]))
+        ids, deadlines = ids[~over], deadlines[~over]
+        if len(ids):
+            state.update((np.stack([ids, deadlines]).tobytes(),))
+            state.setTimeoutTimestamp(int(deadlines.min()) // 1000 + grace)
+        elif state.exists:
             state.remove()
-        else:
-            state.update((int(held),))
-            state.setTimeoutTimestamp(int(held) // 1000 + grace)
-        yield pd.DataFrame({"message_id": [key[0]] * len(out), "deadline_us": [int(x) for x in out]}).astype("int64")
+        ids, deadlines = (np.concatenate(x) for x in zip(*out))
+        named = ids if key[0] >= 0 else pd.array([None] * len(ids), "Int64")
+        yield pd.DataFrame({"message_id": named, "deadline_us": deadlines})
 
     rows = stream.where("op in ('POP', 'ACK')").withWatermark("ts", "0 seconds").withColumn("us", F.unix_micros("ts"))
-    return rows.groupBy("message_id").applyInPandasWithState(
-        watch, "message_id long, deadline_us long", "deadline long", "append", GroupStateTimeout.EventTimeTimeout
+    # operations without a message are watched as those of one message, in a bucket of their own
+    bucket = F.when(F.col("message_id").isNull(), -1).otherwise(F.pmod(F.xxhash64("message_id"), F.lit(BUCKETS)))
+    rows = rows.withColumn("bucket", bucket).withColumn("message_id", F.coalesce("message_id", F.lit(0)))
+    return rows.groupBy("bucket").applyInPandasWithState(
+        watch, "message_id long, deadline_us long", "held binary", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions import scalars
 from millrace.operators import catalog, deadletter, delivery, ordering, producers, routing, series, transactions, validity
 from millrace.plans import registry
+from millrace.streaming import jobs
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -193,3 +194,33 @@ def test_topic_bound_is_limited(spark):
     error = validity.topic_error(F.lit("t"), F.lit(1), F.lit(1), F.col("b"), F.lit(1), F.lit(1), F.lit(1))
     rows = spark.createDataFrame([(10_000,), (10_001,), (None,)], "b int")
     assert [r[0] for r in rows.select(error).collect()] == [None, "bound out of range", None]
+
+
+def test_lease_expiry_shares_state_between_messages(spark, tmp_path):
+    """As many calls and state rows as there are buckets, whatever the number of messages."""
+    n, kinds = 2000, ("view", "view", "purchase", "click")
+    rows = [(i, T0 + dt.timedelta(seconds=i // 50), None if i in (4, 8) else i * 31 % 1500, kinds[i * 7 % 4]) for i in range(2 * n)]
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string").withColumn("value", F.lit(0.0)).withColumn("props", F.lit(""))
+    want, held = [], {}
+    epoch = dt.datetime(1970, 1, 1)
+    for _, ts, message, kind in rows:
+        at = (ts - epoch) // dt.timedelta(microseconds=1)
+        if kind != "click":
+            if message in held and held[message] // 1000 + 2000 < at // 1000:
+                want.append((message, held[message]))
+            held.pop(message, None)
+            if kind == "view":
+                held[message] = at + 30_000_000
+    end = max(ts for _, ts, _, kind in rows if kind != "click")
+    end = (end - epoch) // dt.timedelta(microseconds=1)
+    want += [x for x in held.items() if x[1] // 1000 + 2000 < end // 1000]
+    steps = [events.where(F.col("event_id") < n), events.where(F.col("event_id") >= n)]
+    found = [tuple(r) for r in jobs.in_steps(spark, steps, jobs.lease_expiries).collect()]
+    assert sorted(found, key=str) == sorted(want, key=str) and any(m is None for m, _ in want)
+
+    events.write.parquet(f"{tmp_path}/in")
+    out = jobs.lease_expiries(jobs.event_stream(spark, f"{tmp_path}/in", 100))
+    run = out.writeStream.format("parquet").outputMode("append").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/at")
+    run = run.trigger(availableNow=True).start()
+    run.awaitTermination()
+    assert max(s["numRowsUpdated"] for p in run.recentProgress for s in p["stateOperators"]) <= jobs.BUCKETS + 1
