@@ -8,7 +8,8 @@ components are the groups.
 
 A band's members are first compared with one of them each, so that a band that holds many copies of one text
 costs pairs in proportion to its members. Then, of those that no link connects yet, the members of small bands are compared each with each, and all that are in some large band (which a passage brings
-together that many texts share) by a join on the rarest shingles of each, which loses no pair either.
+together that many texts share) by a join on the rarest shingles of each, which loses no pair either: first
+each with the likeliest and the least of those it meets, then all that are still apart.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ MAX_BROADCAST = 1 << 17
 CHUNK = 1 << 12
 #: Members of a token that one task compares with all of its members.
 BLOCK = 1 << 10
+#: Rounds in which each member of a token is compared with the likeliest and the least other only.
+BEST_ROUNDS = 1
 #: Slots of a set's sketch.
 SLOTS = 256
 #: Bands with more members than this, not yet connected, are compared by their rarest shingles.
@@ -173,11 +176,11 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch(columns, names=["id", "root", "n", "token"])
 
 
-def prefix_pairs(sets: DataFrame, members: DataFrame, tenths: int) -> DataFrame:
-    """(a, b): all pairs of different roots that may be alike, among ``members`` (id, root, each once), by
-    the shingles that are rarest among them: two sets that are alike share one of the n - ceil(n * tenths /
-    10) + 1 rarest of each. Shingles that many share, as of a passage, come last in that order, so
-    they bring together those only that hold little else. Empty sets are not compared."""
+def prefixes(sets: DataFrame, members: DataFrame, tenths: int) -> DataFrame:
+    """(token, id, root, n, parts, sketch): the rarest shingles of each of ``members`` (id, root, each once), among
+    them: two sets that are alike share one of the n - ceil(n * tenths / 10) + 1 rarest of each. Shingles that
+    many share, as of a passage, come last in that order, so they bring together those only that hold little
+    else. ``parts`` blocks hold a token's members. Empty sets have none."""
     some = _of(sets.select("row", "s"), members.select("id")).join(members, F.col("row") == F.col("id")).select("row", "s", "root")
     tokens = as_table(some.where("octet_length(s) > 0").mapInArrow(_tokens, "id long, root long, n long, token long"))
     common = materialize(tokens.groupBy(F.col("token").alias("_t")).agg(F.count("*").alias("df")).where("df > 1"))
@@ -186,22 +189,41 @@ def prefix_pairs(sets: DataFrame, members: DataFrame, tenths: int) -> DataFrame:
     ranked = ranked.withColumn("rank", F.row_number().over(order)).where("df > 1")
     ranked = ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * tenths / 10) + 1).select("token", "id", "root", "n")
     ranked = ranked.withColumn("parts", F.ceil(F.count("*").over(Window.partitionBy("token")) / BLOCK).cast("int"))
-    ranked = materialize(ranked.join(_of(sets.select("row", "sketch"), members.select("id")), F.col("id") == F.col("row")).drop("row"))
+    return materialize(ranked.join(_of(sets.select("row", "sketch"), members.select("id")), F.col("id") == F.col("row")).drop("row"))
+
+
+def prefix_pairs(ranked: DataFrame, tenths: int, best: bool = False) -> DataFrame:
+    """(a, b): all pairs of different roots that may be alike, from ``prefixes``. With ``best``, only for each
+    member of a token the likeliest and the least of those in its own block: two rows a member at most."""
     columns = ("id", "root", "n", "sketch")
-    index = ranked.select("token", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), F.lit(0).alias("probe"), *columns)
-    probe = ranked.select("token", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("probe"), *columns)
+    own = F.pmod(F.xxhash64("id"), "parts").cast("int")
+    index = ranked.select("token", own.alias("part"), F.lit(0).alias("probe"), *columns)
+    at = F.array(own) if best else F.sequence(F.lit(0), F.col("parts") - 1)
+    probe = ranked.select("token", F.explode(at).alias("part"), F.lit(1).alias("probe"), *columns)
     dealt = index.union(probe).repartition("token", "part").sortWithinPartitions("token", "part", "probe")
-    return dealt.mapInArrow(_met(tenths), "a long, b long").distinct()
+    return dealt.mapInArrow(_met(tenths, best), "a long, b long").distinct()
+
+
+def _merged(ranked: DataFrame, of: DataFrame) -> DataFrame:
+    """``ranked`` with the roots that ``of`` (node, root) puts in their place, without the tokens whose members all have
+    one root."""
+    new = of.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
+    ranked = ranked.join(new, F.col("root") == F.col("_n"), "left").withColumn("root", F.coalesce("_r", "root")).drop("_n", "_r")
+    ends = ranked.groupBy(F.col("token").alias("_t")).agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size"))
+    ranked = spread_join(ranked, materialize(ends), {"token": "_t"}, "size", F.xxhash64("id", "token"))
+    return ranked.where("lo < hi").drop("lo", "hi", "size")
 
 
-def _met(tenths: int):
+def _met(tenths: int, best: bool):
     """Rows (token, part, probe, id, root, n, sketch), sorted by the first three, to the pairs that their
-    sketches leave open. Memory: one batch, and the part of a token that the others are compared with."""
+    sketches leave open, or the likeliest and the least of them for each probe. Memory: one batch, and the part of a token that the
+    others are compared with."""
 
-    def open_pairs(x: tuple, y: tuple) -> np.ndarray:
+    def open_pairs(x: tuple, y: tuple) -> tuple:
         near = (10 * x[2][:, None] >= tenths * y[2][None, :]) & (10 * y[2][None, :] >= tenths * x[2][:, None])
-        i, j = np.nonzero(near & (x[0][:, None] < y[0][None, :]) & (x[1][:, None] != y[1][None, :]))
-        keep = []
+        near &= x[1][:, None] != y[1][None, :]
+        i, j = np.nonzero(near if best else near & (x[0][:, None] < y[0][None, :]))
+        keep, bound = [], []
         for at in range(0, len(i), 1 << 14):
             p, q = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
             s, t = x[3][p], y[3][q]
@@ -210,8 +232,19 @@ def _met(tenths: int):
             n, m = x[2][p], y[2][q]
             both = np.where(full, np.minimum(n, m), both)
             keep.append(10 * both >= tenths * (n + m - both))
+            bound.append(both / (n + m - both))
         keep = np.concatenate(keep) if keep else np.empty(0, bool)
-        return np.stack([x[0][i[keep]], y[0][j[keep]]])
+        return x[0][i[keep]], y[0][j[keep]], (np.concatenate(bound) if bound else np.empty(0))[keep]
+
+    def of_probes(index: list, y: tuple) -> np.ndarray:
+        a, b, bound = (np.concatenate(c) for c in zip(*(open_pairs(x, y) for x in index)))
+        if best:
+            firsts = []
+            for order in (np.lexsort((a, b)), np.lexsort((-bound, b))):
+                firsts.append(order[np.append(True, b[order][1:] != b[order][:-1])[: len(b)]])
+            firsts = np.unique(np.concatenate(firsts))
+            a, b = a[firsts], b[firsts]
+        return np.stack([np.minimum(a, b), np.maximum(a, b)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, index = None, []
@@ -229,8 +262,8 @@ def _met(tenths: int):
                     key, index = now, []
                 if probe[lo] == 0:
                     index.append(some)
-                else:
-                    found += [open_pairs(x, tuple(c[at : at + 256] for c in some)) for x in index for at in range(0, hi - lo, 256)]
+                elif index:
+                    found += [of_probes(index, tuple(c[at : at + 256] for c in some)) for at in range(0, hi - lo, 256)]
             if found:
                 a, b = np.concatenate(found, axis=1)
                 yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
@@ -297,7 +330,20 @@ def links(texts: DataFrame, rows: DataFrame, words_each: int, radius: int, tenth
     found = found.union(verified(more.union(by_bits.where(apart).select("a", "b")).distinct()))
     many_in = materialize(members.where(F.col("size") > SMALL).select("id", "root").distinct())
     if not many_in.isEmpty():
-        found = found.union(by_sets(prefix_pairs(sets, many_in, tenths)))
+        # the likeliest first: what they connect is not compared again, so that a family costs rows in proportion
+        # to its members; then all pairs that are still apart
+        ranked = prefixes(sets, many_in, tenths)
+        roots = many_in.select(F.col("id").alias("_i"), "root")
+        for _ in range(BEST_ROUNDS):
+            likely = by_sets(prefix_pairs(ranked, tenths, best=True))
+            found = found.union(likely)
+            for c in "ab":
+                likely = likely.join(roots.withColumnRenamed("root", f"r{c}"), F.col(c) == F.col("_i")).drop("_i")
+            of = materialize(components(likely, "ra", "rb"))
+            ranked = materialize(_merged(ranked, of))
+            new = of.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
+            roots = roots.join(new, F.col("root") == F.col("_n"), "left").select("_i", F.coalesce("_r", "root").alias("root"))
+        found = found.union(by_sets(prefix_pairs(ranked, tenths)))
     return found
 
 

@@ -556,3 +556,26 @@ def test_nothing_to_learn_from(spark, graded, empty):
         rows = quality.classify(docs.limit(5), some).collect()
         assert [r["keep"] for r in rows] == [True] * 5 and all(r["score"] is None for r in rows)
     assert quality.classify(empty, labels).count() == 0
+
+
+def test_family_costs_prefix_rows_in_proportion(spark):
+    """Near copies that are all alike are compared with few others first, and not again once connected."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(150)]
+    texts = []
+    for k in range(200):
+        some = list(words)
+        some[rng.randrange(150)] = f"x{k}"
+        texts.append((k, " ".join(some)))
+    texts.append((200, " ".join(words[:50] + [f"y{i}" for i in range(100)])))
+    sets = spark.createDataFrame(texts, "row long, t string").mapInArrow(near_dedup._sets(5), "row long, s binary, sketch binary")
+    members = spark.range(201).select("id", F.col("id").alias("root"))
+    ranked = near_dedup.prefixes(sets, members, 8)
+    every = {tuple(r) for r in near_dedup.prefix_pairs(ranked, 8).collect()}
+    assert len(every) > 10_000  # each with nearly each
+    likely = near_dedup.prefix_pairs(ranked, 8, best=True)
+    assert likely.count() <= 2 * ranked.count() and {tuple(r) for r in likely.collect()} <= every
+    of = near_dedup.components(likely)
+    again = {tuple(r) for r in near_dedup.prefix_pairs(near_dedup._merged(ranked, of), 8).collect()}
+    root = {r["node"]: r["root"] for r in of.collect()}
+    assert again == {(a, b) for a, b in every if root[a] != root[b]} and len(again) < len(every) / 20
