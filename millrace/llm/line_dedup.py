@@ -102,13 +102,14 @@ def sketch(line: Column) -> Column:
     return out
 
 
-def _alike(a: Column, b: Column, max_edits: int) -> Column:
-    """No edit changes the letter counts by more than two in all (exact for up to four edits)."""
+def _alike(a: Column, b: Column, short: Column, long: Column, max_edits: int) -> Column:
+    """No edit changes the letter counts by more than two in all, and as many as the lengths ``short`` and
+    ``long`` differ by change them by one only (exact for up to four edits)."""
     total = F.lit(0)
     for k in range(len(LETTERS)):
         x, y = (F.shiftrightunsigned(c, 4 * k).bitwiseAND(15).cast("int") for c in (a, b))
         total = total + F.least((x - y).bitwiseAND(15), (y - x).bitwiseAND(15))
-    return (a == 0) | (b == 0) | (total <= 2 * max_edits)
+    return (a == 0) | (b == 0) | (total <= 2 * edits(short, max_edits) - (long - short))
 
 
 def _shared_prefix(a: Column, b: Column) -> Column:
@@ -199,15 +200,23 @@ def meetings(some: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
     return materialize(met.where("c > 1 and own = 1").drop("own"))
 
 
-def candidates(met: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
-    """(a, b): pairs of values of k, each once, that may be within the allowed edits of each other, from
-    ``meetings``. A hash with many members is dealt out in blocks of BLOCK, each
-    of which meets all of its members."""
+def meeting_pairs(met: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
+    """(a, b) for each segment of a that b holds, a the shorter, or the lesser of two that are equally long:
+    those find each other from either side. From ``meetings``. A hash with many members is dealt out in blocks
+    of BLOCK, each of which meets all of its members."""
     blocks = F.ceil(F.col("c") / BLOCK).cast("int")
     index = met.where("x % 2 = 1").select("h", F.col("k").alias("a"), F.col("s").alias("sa"), F.col("x").alias("xa"), F.pmod(F.xxhash64("k"), blocks).cast("int").alias("part"))
     probe = met.select(F.col("h").alias("ph"), F.col("k").alias("b"), F.col("s").alias("sb"), F.col("x").alias("xb"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("at"))
-    fits = (F.shiftright("xb", 1) - F.shiftright("xa", 1)).between(0, max_edits) & (F.col("a") != F.col("b"))
-    pairs = index.join(probe, (F.col("h") == F.col("ph")) & (F.col("part") == F.col("at")) & fits & _alike(F.col("sa"), F.col("sb"), max_edits))
+    na, nb = F.shiftright("xa", 1), F.shiftright("xb", 1)
+    fits = (nb - na).between(0, max_edits) & ((na < nb) & (F.col("a") != F.col("b")) | (F.col("a") < F.col("b")))
+    pairs = index.join(probe, (F.col("h") == F.col("ph")) & (F.col("part") == F.col("at")) & fits & _alike(F.col("sa"), F.col("sb"), na, nb, max_edits))
+    return pairs.select("a", "b")
+
+
+def candidates(met: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
+    """(a, b): pairs of values of k, each once, that may be within the allowed edits of each other, from
+    ``meetings``."""
+    pairs = meeting_pairs(met, max_edits)
     return materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
@@ -236,7 +245,9 @@ def links(docs: DataFrame, found: DataFrame, id_col: str, text_col: str, max_edi
     ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     texts = as_table(_of(texts, ids, "k1").dropDuplicates(["k1", "k2"]).withColumn("s", sketch(F.col("line"))))
     left, right = (texts.select(F.col("k1").alias(f"{c}_k"), F.struct("k1", "k2").alias(f"{c}_key"), F.col("line").alias(f"{c}_line"), F.col("s").alias(f"{c}_s")) for c in "ab")
-    both = pairs.join(left, F.col("a") == F.col("a_k")).join(right, F.col("b") == F.col("b_k")).where(_alike(F.col("a_s"), F.col("b_s"), max_edits))
+    both = pairs.join(left, F.col("a") == F.col("a_k")).join(right, F.col("b") == F.col("b_k"))
+    sizes = (f(F.length("a_line"), F.length("b_line")) for f in (F.least, F.greatest))
+    both = both.where(_alike(F.col("a_s"), F.col("b_s"), *sizes, max_edits))
     swap = F.length("a_line") > F.length("b_line")
     both = both.select(
         F.col("a_key").alias("a"),

@@ -579,3 +579,30 @@ def test_family_costs_prefix_rows_in_proportion(spark):
     again = {tuple(r) for r in near_dedup.prefix_pairs(near_dedup._merged(ranked, of), 8).collect()}
     root = {r["node"]: r["root"] for r in of.collect()}
     assert again == {(a, b) for a, b in every if root[a] != root[b]} and len(again) < len(every) / 20
+
+
+def test_lines_of_one_length_meet_one_way(spark):
+    """Of a pair of equal length one direction is enough; no pair within the allowed edits is lost."""
+    rng = random.Random(6)
+    lines = {"".join(rng.choice("abcd ") for _ in range(rng.choice((12, 25, 25)))).strip() + "end" for _ in range(8)}
+    for line in sorted(lines):
+        for _ in range(12):
+            at = rng.randrange(len(line))
+            lines.add(line[:at] + rng.choice(("", "q", line[at] + "z")) + line[at + 1 :])
+            lines.add(line[:at] + line[at + 1 :] + "d")
+    named = sorted(lines)
+    met = line_dedup.meetings(spark.createDataFrame(list(enumerate(named)), "k long, line string"))
+    rows = line_dedup.meeting_pairs(met)
+    twice = rows.groupBy(F.least("a", "b"), F.greatest("a", "b")).agg(F.countDistinct("a").alias("ways"))
+    assert twice.where("ways > 1").count() == 0
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, old = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+        return row[-1]
+
+    want = {(i, j) for i, a in enumerate(named) for j, b in enumerate(named[i + 1 :], i + 1) if distance(a, b) <= min(2, min(len(a), len(b)) // 10)}
+    assert want <= {tuple(r) for r in line_dedup.candidates(met).collect()} and len(want) > 200
