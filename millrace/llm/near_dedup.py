@@ -21,6 +21,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +38,8 @@ MAX_BROADCAST = 1 << 17
 CHUNK = 1 << 12
 #: Members of a token that one task compares with all of its members.
 BLOCK = 1 << 10
+#: At most so many tokens, the most frequent ones, are told to every task (16 bytes each).
+MAX_FREQUENT = 1 << 16
 #: Rounds in which each member of a token is compared with the likeliest and the least other only.
 BEST_ROUNDS = 1
 #: Slots of a set's sketch.
@@ -164,30 +167,83 @@ def _labelled(members: DataFrame, of: DataFrame) -> DataFrame:
     return rows.where("lo < hi").select("key", "id", "root", "size")
 
 
-def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, set, root) to (id, root, n, token) for each hash of the set."""
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(set) to (token, df): how many of some sets hold a hash."""
     for batch in batches:
-        for at in range(0, len(batch), 64):
-            some = batch.slice(at, 64)
-            found = [np.frombuffer(x.as_py(), np.int64) for x in some.column(1)]
-            n = np.array([len(x) for x in found], np.int64)
-            which = pa.array(np.repeat(np.arange(len(found)), n))
-            columns = [some.column(0).take(which), some.column(2).take(which), pa.array(np.repeat(n, n)), pa.array(np.concatenate(found))]
-            yield pa.record_batch(columns, names=["id", "root", "n", "token"])
+        for at in range(0, len(batch), 256):
+            flat = [np.frombuffer(x.as_py(), np.int64) for x in batch.column(0).slice(at, 256)]
+            token, df = np.unique(np.concatenate(flat), return_counts=True)
+            yield pa.record_batch([pa.array(token), pa.array(df)], names=["token", "df"])
+
+
+def frequent(counts: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
+    """A number, and the tokens of ``counts`` (token, df) that more sets hold than that, ascending, with how
+    many do: ``MAX_FREQUENT`` tokens at most."""
+    sizes = counts.groupBy(F.ceil(F.log2("df")).cast("int").alias("k")).agg(F.count("*").alias("c"))  # 65 at most
+    above, most = 0, 1
+    for k, c in sorted(map(tuple, sizes.collect()), reverse=True):
+        if (above := above + c) > MAX_FREQUENT:
+            most = 1 << k
+            break
+    rows = counts.where(F.col("df") > most).toArrow()
+    token, df = (rows.column(c).to_numpy() for c in ("token", "df"))
+    order = np.argsort(token)
+    return most, token[order], df[order]
+
+
+def _listed(tenths: int, shared: Broadcast):
+    """(row, set, root) to (id, root, n, token, rare, df): the rare hashes of the set, whose number is ``rare`` (df
+    0), and of the ``frequent`` ones, which come behind those, as many as its prefix has room for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token, df = shared.value
+        padded = np.append(token, 0)
+        for batch in batches:
+            for at in range(0, len(batch), 64):
+                some = batch.slice(at, 64)
+                found, counts, sizes = [], [], []
+                for x in some.column(1):
+                    own = np.frombuffer(x.as_py(), np.int64)
+                    place = np.searchsorted(token, own)
+                    often = (place < len(token)) & (padded[place] == own)
+                    rare, known, times = own[~often], own[often], df[place[often]]
+                    first = np.lexsort((known, times))[: max(0, len(own) + (-len(own) * tenths) // 10 + 1 - len(rare))]
+                    found.append(np.concatenate([rare, known[first]]))
+                    counts.append(np.concatenate([np.zeros(len(rare), np.int64), times[first]]))
+                    sizes.append((len(own), len(rare), len(found[-1])))
+                n, rare, made = np.array(sizes, np.int64).T
+                which = pa.array(np.repeat(np.arange(len(found)), made))
+                columns = [some.column(0).take(which), some.column(2).take(which), pa.array(np.repeat(n, made))]
+                columns += [pa.array(x) for x in (np.concatenate(found), np.repeat(rare, made), np.concatenate(counts))]
+                yield pa.record_batch(columns, names=["id", "root", "n", "token", "rare", "df"])
+
+    return run
+
+
+def prefix_tokens(some: DataFrame, tenths: int) -> tuple[DataFrame, DataFrame]:
+    """Of sets (row, s, root), none empty: rows (id, root, n, token, rare, df) that may lie in the prefixes, and (token, df) of
+    the rare hashes that two sets or more hold. The df of a row is 0 where that table has to tell it."""
+    counts = some.select("s").mapInArrow(_counted, "token long, df long").groupBy("token").agg(F.sum("df").alias("df"))
+    counts = materialize(counts.where("df > 1"))
+    most, *often = frequent(counts)
+    shared = some.sparkSession.sparkContext.broadcast(often)
+    rows = some.mapInArrow(_listed(tenths, shared), "id long, root long, n long, token long, rare long, df long")
+    return as_table(rows), counts.where(F.col("df") <= most)
 
 
 def prefixes(sets: DataFrame, members: DataFrame, tenths: int) -> DataFrame:
     """(token, id, root, n, parts, sketch): the rarest shingles of each of ``members`` (id, root, each once), among
     them: two sets that are alike share one of the n - ceil(n * tenths / 10) + 1 rarest of each. Shingles that
     many share, as of a passage, come last in that order, so they bring together those only that hold little
-    else. ``parts`` blocks hold a token's members. Empty sets have none."""
+    else. The most frequent ones are told to every task, and only those within a prefix become rows; how many
+    hold a rarer one is looked up, by keys of few rows. ``parts`` blocks hold a token's members. Empty sets have none."""
     some = _of(sets.select("row", "s"), members.select("id")).join(members, F.col("row") == F.col("id")).select("row", "s", "root")
-    tokens = as_table(some.where("octet_length(s) > 0").mapInArrow(_tokens, "id long, root long, n long, token long"))
-    common = materialize(tokens.groupBy(F.col("token").alias("_t")).agg(F.count("*").alias("df")).where("df > 1"))
-    ranked = spread_join(tokens, common, {"token": "_t"}, "df", F.xxhash64("id", "token"))
-    order = Window.partitionBy("id").orderBy(F.coalesce("df", F.lit(1)), "token")
-    ranked = ranked.withColumn("rank", F.row_number().over(order)).where("df > 1")
-    ranked = ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * tenths / 10) + 1).select("token", "id", "root", "n")
+    tokens, counts = prefix_tokens(some.where("octet_length(s) > 0"), tenths)
+    size = F.col("n") - F.ceil(F.col("n") * tenths / 10) + 1
+    rare = tokens.where("df = 0").drop("df").join(counts, "token")
+    alone = F.col("rare") - F.count("*").over(Window.partitionBy("id"))  # hashes that no other set holds come first
+    rare = rare.withColumn("rank", alone + F.row_number().over(Window.partitionBy("id").orderBy("df", "token"))).where(F.col("rank") <= size)
+    ranked = rare.select("token", "id", "root", "n").union(tokens.where("df > 0").select("token", "id", "root", "n"))
     ranked = ranked.withColumn("parts", F.ceil(F.count("*").over(Window.partitionBy("token")) / BLOCK).cast("int"))
     return materialize(ranked.join(_of(sets.select("row", "sketch"), members.select("id")), F.col("id") == F.col("row")).drop("row"))
 

@@ -581,6 +581,39 @@ def test_family_costs_prefix_rows_in_proportion(spark):
     assert again == {(a, b) for a, b in every if root[a] != root[b]} and len(again) < len(every) / 20
 
 
+@pytest.mark.parametrize("most", [1 << 16, 20])
+def test_prefixes_make_few_rows(spark, monkeypatch, most):
+    """Shingles that a family shares become rows within a prefix only; the prefixes are those of the definition."""
+    monkeypatch.setattr(near_dedup, "MAX_FREQUENT", most)
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(150)]
+    texts = [(0, ""), (1, "one"), (2, "one"), (3, " ".join(words[:50] + [f"y{i}" for i in range(100)]))]
+    for k in range(4, 150):
+        some = words[: rng.choice((150, 120, 60))]
+        some[rng.randrange(len(some))] = f"x{k}"
+        texts.append((k, " ".join(some)))
+    by = {k: set(near_dedup.shingles(t.encode(), 5).view(np.int64).tolist()) for k, t in texts}
+    df = {}
+    for own in by.values():
+        for h in own:
+            df[h] = df.get(h, 0) + 1
+    want = set()
+    for k, own in by.items():
+        first = sorted(own, key=lambda h: (df[h], h))[: len(own) - math.ceil(len(own) * 8 / 10) + 1]
+        want |= {(h, k, -k, len(own)) for h in first if df[h] > 1}
+    sets = spark.createDataFrame(texts, "row long, t string").mapInArrow(near_dedup._sets(5), "row long, s binary, sketch binary")
+    members = spark.createDataFrame([(k, -k) for k in by], "id long, root long")
+    found = [tuple(r) for r in near_dedup.prefixes(sets, members, 8).select("token", "id", "root", "n").collect()]
+    assert set(found) == want and len(found) == len(want) and len(want) > 2000
+    some = sets.join(members, F.col("id") == F.col("row")).where("octet_length(s) > 0")
+    tokens, rare = near_dedup.prefix_tokens(some.select("row", "s", "root"), 8)
+    every, alone, asked = sum(df.values()), sum(c == 1 for c in df.values()), rare.count()
+    assert tokens.where("df > 0").count() <= len(want)
+    assert len(df) - alone - asked <= most
+    if most > 20:
+        assert asked == 0 and tokens.count() <= len(want) + alone and tokens.count() < every / 3
+
+
 def test_lines_of_one_length_meet_one_way(spark):
     """Of a pair of equal length one direction is enough; no pair within the allowed edits is lost."""
     rng = random.Random(6)
