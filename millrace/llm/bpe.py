@@ -32,16 +32,25 @@ class Vocabulary:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.tokens = dict(zip(self.ranks.values(), self.ranks))
         self.longest = max(map(len, self.ranks))
-        #: Tokens that are reached by merging their bytes, the only ones that an encoding can hold.
-        self.own = {t for t in self.ranks if len(self.merged(t)) == 1}
-        self.known: dict[tuple[bytes, bytes], bool] = {}
-
-    def merged(self, data: bytes) -> list[bytes]:
-        """The plain definition: merge the adjacent pair of least rank until there is none."""
+        #: The two tokens that the last merge on the way to a token joins; those of one byte have none. Only
+        #: tokens that their bytes merge to have an entry: an encoding holds no other.
+        self.halves: dict[int, tuple[int, int] | None] = {}
+        for token, rank in self.ranks.items():
+            parts = self.merged(token, 2)
+            if len(token) == 1:
+                self.halves[rank] = None
+            elif len(parts) == 2:  # their own merge comes last
+                self.halves[rank] = (self.ranks[parts[0]], self.ranks[parts[1]])
+        self.joined = {h: rank for rank, h in self.halves.items() if h}
+        self.own = {self.tokens[rank]: rank for rank in self.halves}
+        self.known: dict[tuple[int, int], bool] = {}
+
+    def merged(self, data: bytes, least_parts: int = 1) -> list[bytes]:
+        """The plain definition: merge the adjacent pair of least rank until there is none, or so few parts."""
         rank, none = self.ranks.get, 1 << 60
         parts = [data[i : i + 1] for i in range(len(data))]
         pairs = [rank(a + b, none) for a, b in zip(parts, parts[1:])]
-        while pairs and (least := min(pairs)) != none:
+        while len(pairs) >= least_parts and (least := min(pairs)) != none:
             at = pairs.index(least)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
             del pairs[at]
@@ -51,31 +60,44 @@ class Vocabulary:
                 pairs[at] = rank(parts[at] + parts[at + 1], none)
         return parts
 
-    def apart(self, left: bytes, right: bytes) -> bool:
-        """Whether both stay as they are when one follows the other."""
+    def apart(self, left: int, right: int) -> bool:
+        """Whether both stay as they are when one follows the other. Merges run by rank, so the two tokens are
+        taken apart in the reverse order; they do not stay where two parts that meet would have merged before
+        the whole that one of them went into."""
         if len(self.known) >= 1 << 19:
             self.known.clear()
-        whole = left + right
-        found = self.known[left, right] = whole not in self.own and self.merged(whole) == [left, right]
+        key, joined, halves = (left, right), self.joined.get, self.halves
+        found, before = True, 1 << 60
+        while True:
+            if joined((left, right), before) < before:
+                found = False
+                break
+            a, b = halves[left], halves[right]
+            if left > right and a or not b:  # of equal tokens the right one comes second
+                if not a:
+                    break
+                before, left = left, a[1]
+            else:
+                before, right = right + 1, b[0]
+        self.known[key] = found
         return found
 
 
 class PrefixTable:
-    """The last token of every prefix of a byte string (one match of the pattern)."""
+    """The last token (its rank) of every prefix of a byte string (one match of the pattern)."""
 
     def __init__(self, vocabulary: Vocabulary, data: bytes = b""):
-        self.vocabulary, self.data, self.last = vocabulary, b"", [b""]
+        self.vocabulary, self.data, self.last = vocabulary, b"", [-1]
         self.append(data)
 
     def append(self, more: bytes) -> None:
         """Exact: prefixes that are already there keep their token."""
         v, last = self.vocabulary, self.last
-        own, known, longest = v.own, v.known.get, v.longest
+        own, known, longest = v.own.get, v.known.get, v.longest
         self.data = data = self.data + more
         for end in range(len(last), len(data) + 1):
-            for start in range(max(0, end - longest), end):
-                token = data[start:end]
-                if token in own:
+            for start in range(end - longest if end > longest else 0, end):
+                if (token := own(data[start:end])) is not None:
                     if start and (fits := known((last[start], token))) is not True:
                         if fits is False or not v.apart(last[start], token):
                             continue
@@ -100,10 +122,11 @@ class PrefixTable:
                 return
 
     def ids(self) -> list[int]:
-        out, end = [], len(self.data)
+        out, last, tokens, end = [], self.last, self.vocabulary.tokens, len(self.data)
         while end:
-            out.append(self.vocabulary.ranks[self.last[end]])
-            end -= len(self.last[end])
+            token = last[end]
+            out.append(token)
+            end -= len(tokens[token])
         return out[::-1]
 
 

@@ -82,6 +82,22 @@ def test_prefix_table_appends_and_edits(encoder):
         assert table.ids() == bpe.PrefixTable(encoder.vocabulary, data[:a] + b"xyz" + (data + more)[b:]).ids()
 
 
+def test_pairs_are_told_apart_without_merging(encoder, monkeypatch):
+    """Whether two tokens stay apart is what merging their bytes says, and texts are encoded without merging any."""
+    v, rng = encoder.vocabulary, random.Random(22)
+    ranks = list(v.halves)
+    pairs = [(rng.choice(ranks[: rng.choice((300, 3000, len(ranks)))]), rng.choice(ranks[: rng.choice((300, 3000, len(ranks)))])) for _ in range(20_000)]
+    pairs += [(r, r) for r in ranks[:3000]]
+    want = [v.merged(v.tokens[a] + v.tokens[b]) == [v.tokens[a], v.tokens[b]] for a, b in pairs]
+    assert [v.apart(a, b) for a, b in pairs] == want and 500 < want.count(False)
+    text = "".join(rng.choice("abcdefghij stu é") for _ in range(3000))
+    ids = encoder.encode(text)
+    monkeypatch.setattr(v, "merged", None)
+    v.known.clear()
+    again = bpe.Cutter(lambda piece: b"".join(encoder._match(m) for m in encoder.find(piece)))
+    assert again.encode(text) == ids
+
+
 def test_texts_edited_in_place(encoder, library):
     rng = random.Random(21)
     alphabet = " \t\n abcAB'st1,.é漢"
