@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,8 +16,10 @@ from pyspark.sql import functions as F
 SPACES = r"[\x20\x09-\x0D]"
 #: A key with more than one row in so many is hot; so there are fewer hot keys than this.
 HOT_SHARE = 1000
-#: Edges of a graph that are kept in one file.
+#: Edges of a graph, or other short rows, that are kept in one file.
 ROWS_A_FILE = 1 << 16
+#: So many short rows at most are gathered in few files.
+FEW_ROWS = 1 << 17
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -34,6 +39,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def gathered(df: DataFrame) -> tuple[DataFrame, int]:
+    """``df``, of short rows, materialized, and how many they are. Few rows come in few files: else each later
+    step over a handful of them is as many tasks, files and entries in the logs as there are shuffle partitions."""
+    df = materialize(df)
+    n = df.count()
+    return (materialize(df.coalesce(n // ROWS_A_FILE + 1)) if n <= FEW_ROWS else df), n
+
+
 def as_table(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet into the shared folder and read back: for wide rows, which
     Parquet keeps smaller than a checkpoint does."""
@@ -84,10 +97,41 @@ def spread_join(rows: DataFrame, info: DataFrame, keys: dict[str, str], weight:
     return out.select(*rows.columns, *(F.col("_found")[c].alias(c) for c in more))
 
 
+def _contracted(whole: bool):
+    """Edges (u, v) of longs to (u, v), with ``whole`` (node, root): of each ``ROWS_A_FILE`` edges, each node with the least one that they
+    connect it with, and with ``whole`` that one with itself. Memory: so many edges and a batch."""
+
+    def stars(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+        nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+        a, b = at[: len(u)], at[len(u) :]
+        root = np.arange(len(nodes))
+        while (apart := root[a] != root[b]).any():
+            x, y = root[a[apart]], root[b[apart]]
+            np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+            while not np.array_equal(up := root[root], root):
+                root = up
+        keep = np.ones(len(nodes), bool) if whole else root != np.arange(len(nodes))
+        return pa.record_batch([pa.array(nodes[keep]), pa.array(nodes[root[keep]])], names=["node", "root"] if whole else ["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append([c.to_numpy() for c in batch.columns])
+            if (n := n + len(batch)) >= ROWS_A_FILE:
+                yield stars(*map(np.concatenate, zip(*held)))
+                held, n = [], 0
+        if n:
+            yield stars(*map(np.concatenate, zip(*held)))
+
+    return run
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected graph: (node, root), root the least node reachable.
 
-    Alternates the large-star and small-star steps until no edge changes. Only nodes that have an
+    Each task first puts stars in the place of the edges that it holds (nodes that are longs); then the large-star
+    and small-star steps alternate until no edge changes or what is left fits one file of ``ROWS_A_FILE`` edges,
+    which is solved at once: a step is five shuffles, however few its edges. Only nodes that have an
     edge are returned. The smallest neighbour of a node is a partial aggregate; a node with very many
     edges is split over tasks by adaptive execution's skew join, as both joins look up one row a node.
     Null ends and self-loops are ignored; an empty input gives an empty result.
@@ -97,11 +141,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
     # u > v throughout: v is the smaller end
-    e = materialize(
-        edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    )
+    e = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
+    longs = {kind for _, kind in e.dtypes} == {"bigint"}
+    e = materialize(e.mapInArrow(_contracted(False), "u long, v long") if longs else e.distinct())
     last = None
     while (now := state(e)) != last:
+        if longs and now[0] < ROWS_A_FILE:
+            return e.coalesce(1).mapInArrow(_contracted(True), "node long, root long")
         last = now
         # large star: each node hands its least neighbour to its larger neighbours
         least = e.groupBy("u").agg(F.min("v").alias("m"))

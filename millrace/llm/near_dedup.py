@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import simhash
-from millrace.llm.common import as_table, components, materialize, spread_join
+from millrace.llm.common import as_table, components, gathered, materialize, spread_join
 from millrace.llm.exact_dedup import keep_rows, text_keys
 
 BANDS, ROWS = 35, 5
@@ -151,10 +151,9 @@ def _verified(tenths: int):
     return run
 
 
-def _of(rows: DataFrame, ids: DataFrame, key: str = "row") -> DataFrame:
-    """The rows whose ``key`` is in ``ids`` (id; materialized), without a shuffle of ``rows`` where those are few."""
-    small = ids.count() <= MAX_BROADCAST
-    return rows.join(F.broadcast(ids) if small else ids, rows[key] == ids["id"], "left_semi")
+def _of(rows: DataFrame, ids: DataFrame, n: int, key: str = "row") -> DataFrame:
+    """The rows whose ``key`` is among ``n`` ``ids`` (id, repeated or not), without a shuffle of ``rows`` where those are few."""
+    return rows.join(F.broadcast(ids) if n <= MAX_BROADCAST else ids, rows[key] == ids["id"], "left_semi")
 
 
 def _labelled(members: DataFrame, of: DataFrame) -> DataFrame:
@@ -237,7 +236,8 @@ def prefixes(sets: DataFrame, members: DataFrame, tenths: int) -> DataFrame:
     many share, as of a passage, come last in that order, so they bring together those only that hold little
     else. The most frequent ones are told to every task, and only those within a prefix become rows; how many
     hold a rarer one is looked up, by keys of few rows. ``parts`` blocks hold a token's members. Empty sets have none."""
-    some = _of(sets.select("row", "s"), members.select("id")).join(members, F.col("row") == F.col("id")).select("row", "s", "root")
+    n = members.count()
+    some = _of(sets.select("row", "s"), members.select("id"), n).join(members, F.col("row") == F.col("id")).select("row", "s", "root")
     tokens, counts = prefix_tokens(some.where("octet_length(s) > 0"), tenths)
     size = F.col("n") - F.ceil(F.col("n") * tenths / 10) + 1
     rare = tokens.where("df = 0").drop("df").join(counts, "token")
@@ -245,7 +245,7 @@ def prefixes(sets: DataFrame, members: DataFrame, tenths: int) -> DataFrame:
     rare = rare.withColumn("rank", alone + F.row_number().over(Window.partitionBy("id").orderBy("df", "token"))).where(F.col("rank") <= size)
     ranked = rare.select("token", "id", "root", "n").union(tokens.where("df > 0").select("token", "id", "root", "n"))
     ranked = ranked.withColumn("parts", F.ceil(F.count("*").over(Window.partitionBy("token")) / BLOCK).cast("int"))
-    return materialize(ranked.join(_of(sets.select("row", "sketch"), members.select("id")), F.col("id") == F.col("row")).drop("row"))
+    return materialize(ranked.join(_of(sets.select("row", "sketch"), members.select("id"), n), F.col("id") == F.col("row")).drop("row"))
 
 
 def prefix_pairs(ranked: DataFrame, tenths: int, best: bool = False) -> DataFrame:
@@ -266,7 +266,7 @@ def _merged(ranked: DataFrame, of: DataFrame) -> DataFrame:
     new = of.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
     ranked = ranked.join(new, F.col("root") == F.col("_n"), "left").withColumn("root", F.coalesce("_r", "root")).drop("_n", "_r")
     ends = ranked.groupBy(F.col("token").alias("_t")).agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size"))
-    ranked = spread_join(ranked, materialize(ends), {"token": "_t"}, "size", F.xxhash64("id", "token"))
+    ranked = spread_join(ranked, gathered(ends)[0], {"token": "_t"}, "size", F.xxhash64("id", "token"))
     return ranked.where("lo < hi").drop("lo", "hi", "size")
 
 
@@ -331,8 +331,12 @@ def _pair(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _ends(pairs: DataFrame) -> DataFrame:
-    return materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+def _ends(rows: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
+    """The rows at either end of the ``n`` ``pairs``."""
+    ids, n = pairs.select(F.explode(F.array("a", "b")).alias("id")), 2 * n
+    if n > MAX_BROADCAST:
+        ids, n = gathered(ids.distinct())
+    return _of(rows, ids, n)
 
 
 def links(texts: DataFrame, rows: DataFrame, words_each: int, radius: int, tenths: int) -> DataFrame:
@@ -346,12 +350,12 @@ def links(texts: DataFrame, rows: DataFrame, words_each: int, radius: int, tenth
     seeds = members.withColumn("seed", F.min("id").over(many)).where("id != seed")
     seeds = seeds.groupBy("id", "seed").agg(F.count("*").alias("shared")).groupBy("id")
     seeds = seeds.agg(F.slice(F.sort_array(F.collect_list(F.struct("shared", "seed")), asc=False), 1, SEEDS).alias("s"))  # a band each at most
-    first = materialize(seeds.select(F.col("id").alias("b"), F.explode("s.seed").alias("a")).select("a", "b"))
+    first = seeds.select(F.col("id").alias("b"), F.explode("s.seed").alias("a")).select("a", "b")
     by_bits = simhash.links(materialize(rows.groupBy("fp").agg(F.min("row").alias("id"))), radius)
-    by_bits = materialize(by_bits.select(*_pair(F.col("a"), F.col("b"))).where("a != b").distinct())
-    ids = materialize(members.select("id").union(by_bits.select("a")).union(by_bits.select("b")).distinct())
-    wanted = materialize(_of(rows, ids).select("row", F.col("t1").alias("_1"), F.col("t2").alias("_2")))
-    small = wanted.count() <= MAX_BROADCAST
+    by_bits, _ = gathered(by_bits.select(*_pair(F.col("a"), F.col("b"))).where("a != b").distinct())
+    ids = gathered(members.select("id").union(by_bits.select("a")).union(by_bits.select("b")).distinct())
+    wanted, n = gathered(_of(rows, *ids).select("row", F.col("t1").alias("_1"), F.col("t2").alias("_2")))
+    small = n <= MAX_BROADCAST
     found = texts.join(F.broadcast(wanted) if small else wanted, (F.col("t1") == F.col("_1")) & (F.col("t2") == F.col("_2")))
     sets = found.select("row", "t").mapInArrow(_sets(words_each), "row long, s binary, sketch binary")
     sets = as_table(sets.dropDuplicates(["row"]))
@@ -363,18 +367,18 @@ def links(texts: DataFrame, rows: DataFrame, words_each: int, radius: int, tenth
 
     def verified(pairs: DataFrame) -> DataFrame:
         """First by the sketches, which move little; then by the whole sets of what is left."""
-        pairs = materialize(pairs)
-        short = both(pairs, _of(sketches, _ends(pairs)).withColumnRenamed("sketch", "ketch"), "ketch", "n").select("a", "b", "ka", "kb", "na", "nb")
+        pairs, n = gathered(pairs)
+        short = both(pairs, _ends(sketches, pairs, n).withColumnRenamed("sketch", "ketch"), "ketch", "n").select("a", "b", "ka", "kb", "na", "nb")
         return by_sets(short.mapInArrow(_screened(tenths), "a long, b long"))
 
     def by_sets(pairs: DataFrame) -> DataFrame:
-        pairs = materialize(pairs)
-        whole = both(pairs, _of(sets, _ends(pairs)), "s").select("a", "b", "sa", "sb")
-        return materialize(whole.mapInArrow(_verified(tenths), "a long, b long"))
+        pairs, n = gathered(pairs)
+        whole = both(pairs, _ends(sets, pairs, n), "s").select("a", "b", "sa", "sb")
+        return gathered(whole.mapInArrow(_verified(tenths), "a long, b long"))[0]
 
     found = verified(first)
     of = materialize(components(found))
-    members = materialize(_labelled(members, of))
+    members, _ = gathered(_labelled(members, of))
     few = members.where(F.col("size") <= SMALL)
     other = few.select(F.col("key").alias("_k"), F.col("id").alias("_i"), F.col("root").alias("_r"))
     met = (F.col("key") == F.col("_k")) & (F.col("id") < F.col("_i")) & (F.col("root") != F.col("_r"))
@@ -384,8 +388,8 @@ def links(texts: DataFrame, rows: DataFrame, words_each: int, radius: int, tenth
         by_bits = by_bits.join(root, F.col(c) == F.col(f"_{c}"), "left").drop(f"_{c}")
     apart = F.coalesce("ra", "a") != F.coalesce("rb", "b")
     found = found.union(verified(more.union(by_bits.where(apart).select("a", "b")).distinct()))
-    many_in = materialize(members.where(F.col("size") > SMALL).select("id", "root").distinct())
-    if not many_in.isEmpty():
+    many_in, n = gathered(members.where(F.col("size") > SMALL).select("id", "root").distinct())
+    if n:
         # the likeliest first: what they connect is not compared again, so that a family costs rows in proportion
         # to its members; then all pairs that are still apart
         ranked = prefixes(sets, many_in, tenths)

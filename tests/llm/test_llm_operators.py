@@ -336,6 +336,63 @@ def test_components_on_paths_and_stars(spark):
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def jobs_of(spark, run):
+    """What ``run`` returns, and in how many jobs."""
+    name = f"jobs {random.random()}"
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        return run(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+
+
+def test_small_graphs_take_few_jobs(spark):
+    """A graph of a few thousand edges is solved without a shuffle, however long its paths are."""
+    rng = random.Random(9)
+    nodes = rng.sample(range(-(10**12), 10**12), 3000)
+    edges = [(a, b) for a, b in zip(nodes, nodes[1:]) if rng.random() < 0.99]
+    found, jobs = jobs_of(spark, lambda: common.components(spark.createDataFrame(edges, "a long, b long")).collect())
+    assert {r["node"]: r["root"] for r in found} == roots(edges) and len(found) == len(roots(edges))
+    assert jobs <= 8
+
+
+def roots(edges):
+    root = {x: x for e in edges for x in e}
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    return {x: find(x) for x in root}
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_components_over_many_files(spark, monkeypatch, kind):
+    """Graphs beyond one file, and nodes that are no longs, have the same components."""
+    monkeypatch.setattr(common, "ROWS_A_FILE", 16)
+    rng = random.Random(10)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(230)] + [(1000 + i, 1001 + i) for i in range(30)]
+    if kind == "string":
+        edges = [(f"n{a}", f"n{b}") for a, b in edges]
+    found = common.components(spark.createDataFrame(edges, f"a {kind}, b {kind}").repartition(5)).collect()
+    linked = [(a, b) for a, b in edges if a != b]
+    assert {r["node"]: r["root"] for r in found} == roots(linked) and len(found) == len(roots(linked))
+
+
+def test_few_rows_are_gathered(spark, monkeypatch):
+    monkeypatch.setattr(common, "FEW_ROWS", 100)
+    few, n = common.gathered(spark.range(0, 90, 1, 20))
+    assert n == 90 and few.rdd.getNumPartitions() == 1 and sorted(r["id"] for r in few.collect()) == list(range(90))
+    many, n = common.gathered(spark.range(0, 120, 1, 20))
+    assert n == 120 and many.rdd.getNumPartitions() == 20 and many.count() == 120
+    none, n = common.gathered(spark.range(0))
+    assert n == 0 and none.count() == 0
+
+
 # -- 3, 7, 9 --------------------------------------------------------------------------------------------
 
 
