@@ -1,16 +1,20 @@
 """Line deduplication by a segment-partition edit join. DataFrame functions only.
 
 Only distinct lines are compared, and texts are shuffled for those that met another line only. A line of length l that allows t edits
-is cut into t + 1 segments; a line within t edits contains at least one of them unchanged, at a place that
-the lengths and the segment's number pin down to a few. So segments are indexed by (t, number, content),
-and each line probes, for every length it could match, the substrings at those places; its own segments
-are index and probe in one row. Candidates whose
+has t + 1 segments; a line within t edits contains at least one of them unchanged, at a place that
+the lengths and the segment's number pin down to a few. So segments are indexed by (t, number, size, content),
+and each line probes the substrings at those places, for every size of a line that it could match; its own segments
+are index and probe in one row. Lines of about one length have segments of one size, so that a line probes for one
+size mostly. Candidates whose
 letter counts differ too much are left out; the others are verified by a bit-parallel automaton over the
 2t + 1 diagonals of the band, after what both lines begin and end with is cut off.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +27,8 @@ LETTERS = "entairsodhlucmg"
 #: Lines of up to so many code points are sketched at once; longer ones, whose segments rule out most others,
 #: where they meet more than CROWD others on a segment.
 SKETCHED, CROWD = 96, 64
+#: Of a segment in a line's midst, so many code points at most, and half of them at most, are left out before its first space.
+SKIPPED = 16
 #: Members of a key that one task compares with all of the key's members.
 BLOCK = 1 << 10
 #: At most so many rows (one to four longs) are broadcast; more are joined by a shuffle.
@@ -34,7 +40,10 @@ def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     empty line."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     each = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-    return each.withColumn("line", F.btrim("line", F.lit(" \t\r\x0b\f")))
+    spaces = " \t\r\x0b\f"
+    # trimming walks through the whole line, so it is left to those that need it
+    edges = (f(F.col("line"), F.lit(c)) for f in (F.startswith, F.endswith) for c in spaces)
+    return each.withColumn("line", F.when(reduce(or_, edges), F.btrim("line", F.lit(spaces))).otherwise(F.col("line")))
 
 
 def _keys(line: Column) -> list[Column]:
@@ -48,22 +57,45 @@ def edits(length: Column, max_edits: int = MAX_EDITS) -> Column:
 
 
 def _looks(max_edits: int) -> list[tuple[int, int, int, int]]:
-    """(t, less, i, shift): where to look in a line for segment i of a line ``less`` shorter that allows
+    """(t, less, i, shift): where to look in a line for segment i of a line ``less`` shorter, or more, that allows
     t edits, as a shift of the segment's place. The line's own segments are those without less or shift."""
     out = []
     for t in range(1, max_edits + 1):
         for less in range(t + 1):
-            for i in range(1, t + 2):
-                low, high = max(1 - i, less - (t + 1 - i)), min(i - 1, less + t + 1 - i)
-                out += [(t, less, i, shift) for shift in range(low, high + 1)]
+            out += [(t, less, 1, 0), (t, less, t + 1, 0)]
+            out += [(t, less, i, shift) for i in range(2, t + 1) for shift in range(max(1 - i, less - (t + 1 - i)), i)]
     return out
 
 
+def _base(n: Column) -> Column:
+    """A length of 8 or more but for its three highest bits."""
+    return n.bitwiseAND(F.call_function("shiftleft", F.lit(-1), (F.floor(F.log2(n)) - 2).cast("int")))
+
+
+def _segment(n: Column, t: Column | int) -> Column:
+    """The size of each of the t + 1 segments of a line of length n, in whole 64ths of ``_base``."""
+    share = F.lit(64 // (t + 1)) if isinstance(t, int) else F.element_at(F.array(*(F.lit(64 // (k + 1)) for k in range(1, 16))), t)
+    return F.shiftright(_base(n).cast("long") * share, 6).cast("int")
+
+
+def _skipped(q: Column) -> Column:
+    return F.least(F.shiftright(q, 1), F.lit(SKIPPED))
+
+
 def keys(some: DataFrame, max_edits: int) -> DataFrame:
     """(h, k, s, x): hashes of the substrings of each line (k, line, length, s) that could be a segment of
     a line that is not longer; x is twice the length, and one more where the substring is a segment of the
-    line itself. A line of length n has t + 1 segments, the last ones the longer; they are no shorter than
-    the shifts are wide, so every place lies within the line.
+    line itself.
+
+    A line has t + 1 segments of one size: the last one is its end, the others follow each other from its beginning.
+    Of two lines within t edits, let i be the first for which i - 1 edits at most are within or before segment i of the
+    shorter one. They all are before it then, so it is whole and shifted by i - 1 at most, and t + 1 - i at most are left
+    after it. The first and the last segment are looked for at the beginning and the end only. One look serves all
+    lengths of one t and size, which most lines share with those a little shorter. Segments are no shorter than the shifts
+    are wide, so every place lies within the line.
+
+    In place of a segment in the line's midst stands what it has from its first space on, if one comes early, cut to
+    one size: a function of the segment, so that equal ones stay equal, and mostly the same for all shifts.
 
     One small expression over a list of places: spelled out place by place it would be too long a method
     for the compiler."""
@@ -72,25 +104,31 @@ def keys(some: DataFrame, max_edits: int) -> DataFrame:
         return F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in zip(("t", "less", "i", "shift"), x))) for x in places))
 
     every = _looks(max_edits)
+    own = [x for x in every if x[:2] == (max_edits, 0)]
     # most lines are long enough to allow max_edits whatever they are compared with
     long = F.col("length") >= CODE_POINTS_AN_EDIT * max_edits + max_edits
-    looks = F.when(long, listed([x for x in every if x[0] == max_edits])).otherwise(listed(every))
-    rows = some.select("k", "s", "line", "length", F.explode(looks).alias("p")).select("k", "s", "line", "length", "p.*")
-    n = F.col("length") - F.col("less")
-    rows = rows.withColumn("n", n).where(edits(F.col("n"), max_edits) == F.col("t"))
-    late = F.col("t") + 2 - F.col("i")  # segments from here on are one longer
-
-    def cut(n: Column) -> tuple[Column, Column]:
-        base, longer = F.floor(n / (F.col("t") + 1)).cast("int"), n % (F.col("t") + 1)
-        return base * (F.col("i") - 1) + F.greatest(F.lit(0), longer - late) + 1, base + (longer >= late).cast("int")
-
-    start, size = cut(F.col("n"))
-    # first and last segments always are the line's beginning and end: one look for each of their sizes
-    outer = F.col("i").isin(1) | (F.col("i") == F.col("t") + 1)
-    again = outer & (F.col("less") > 0) & (cut(F.col("n") + 1)[1] == size) & (edits(F.col("n") + 1, max_edits) == F.col("t"))
-    own = (F.col("less") == 0) & (F.col("shift") == 0)
-    text = F.substring("line", start + F.col("shift"), size)
-    return rows.where(~again).select(F.xxhash64("t", "i", text).alias("h"), "k", "s", (2 * F.col("length") + own.cast("int")).alias("x"))
+    q = F.col("q")
+    alike = long & (_base(F.col("length") - max_edits) == _base(F.col("length")))
+    single = alike
+    for i in range(2, max_edits + 1):
+        first = (q - 1) * (i - 1) + 1  # where the looks for segment i begin
+        space = F.call_function("locate", F.lit(" "), F.col("line"), first)
+        single = single & space.between(first + 2 * (i - 1), first + _skipped(q))
+    looks = F.when(F.col("single"), listed([x for x in own if x[3] == 0])).when(alike, listed(own))
+    looks = looks.when(long, listed([x for x in every if x[0] == max_edits])).otherwise(listed(every))
+    rows = some.select("k", "s", "line", "length").withColumn("q", _segment(F.col("length"), max_edits)).withColumn("single", single)
+    rows = rows.select("k", "s", "line", "length", F.explode(looks).alias("p")).select("k", "s", "line", "length", "p.*")
+    t, i, shift, n = F.col("t"), F.col("i"), F.col("shift"), F.col("length") - F.col("less")
+    low, most = t * CODE_POINTS_AN_EDIT, t == max_edits
+    again = (F.col("less") > 0) & (most | (n + 1 < low + CODE_POINTS_AN_EDIT)) & (_base(n + 1) == _base(n))
+    rows = rows.where((n >= low) & (most | (n < low + CODE_POINTS_AN_EDIT)) & ~again).withColumn("q", _segment(n, t))
+    inner = (i > 1) & (i <= t)
+    start = F.when(i <= t, (i - 1) * q + shift).otherwise(F.col("length") - q) + 1
+    rows = rows.withColumn("text", F.substring("line", start, q))
+    rows = rows.withColumn("space", F.when(inner, F.instr("text", " ")).otherwise(F.lit(0)))
+    text = F.when(F.col("space").between(1, _skipped(q) + 1), F.substring("text", F.col("space"), q - _skipped(q))).otherwise(F.col("text"))
+    mine = (F.col("less") == 0) & (shift == 0)
+    return rows.select(F.xxhash64("t", "i", "q", text).alias("h"), "k", "s", (2 * F.col("length") + mine.cast("int")).alias("x"))
 
 
 def sketch(line: Column) -> Column:
@@ -195,7 +233,8 @@ def meetings(some: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
     s = F.when(size <= SKETCHED, sketch(F.col("line"))).otherwise(F.lit(0))
     rows = some.select("k", "line", size.alias("length"), s.alias("s")).where(edits(size, max_edits) >= 1)
     same = Window.partitionBy("h")
-    met = keys(rows, max_edits).repartition("h").dropDuplicates(["h", "k", "s", "x"])
+    # one of each line: its own segment, where a look beside it found the same
+    met = keys(rows, max_edits).repartition("h").groupBy("h", "k", "s", F.shiftright("x", 1)).agg(F.max("x").alias("x")).select("h", "k", "s", "x")
     met = met.withColumns({"c": F.count("*").over(same), "own": F.max(F.col("x") % 2).over(same)})
     return materialize(met.where("c > 1 and own = 1").drop("own"))
 
@@ -231,6 +270,7 @@ def links(docs: DataFrame, found: DataFrame, id_col: str, text_col: str, max_edi
     is_hot = (F.col("k1") == F.col("h1")) & (F.col("k2") == F.col("h2"))
     where = lines(docs.join(hot, docs[id_col].eqNullSafe(F.col("i")), "left_semi"), id_col, text_col)
     once = where.select(*_keys(F.col("line")), "line").join(hot, is_hot, "left_semi").groupBy("k1", "k2").agg(F.first("line").alias("line"))
+    once = materialize(once)  # read three times
     texts = rows.join(hot, is_hot, "left_anti").unionByName(once)
     # k1 alone tells lines apart here; should two share it, both are compared
     met = meetings(texts.select(F.col("k1").alias("k"), "line"), max_edits)

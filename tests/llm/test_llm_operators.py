@@ -712,3 +712,38 @@ def test_lines_of_one_length_meet_one_way(spark):
 
     want = {(i, j) for i, a in enumerate(named) for j, b in enumerate(named[i + 1 :], i + 1) if distance(a, b) <= min(2, min(len(a), len(b)) // 10)}
     assert want <= {tuple(r) for r in line_dedup.candidates(met).collect()} and len(want) > 200
+
+
+@pytest.mark.parametrize("max_edits", [1, 2, 3])
+def test_lines_have_few_keys_and_lose_no_pair(spark, max_edits):
+    """A line has few keys, and one within the allowed edits of a line that is not longer has a key that is that one's own."""
+    rng = random.Random(13)
+    pairs, sizes = [], [*range(10, 70)] * 3 + [rng.randrange(70, 500) for _ in range(150)]
+    for n in sizes:
+        line = "".join(rng.choice(rng.choice(("ab", "abcdefgh   ", "aé😀 "))) for _ in range(n))
+        other = line
+        for _ in range(min(max_edits, n // 10)):
+            at = rng.choice((0, rng.randrange(len(other) + 1), len(other)))
+            other = other[:at] + rng.choice(("", "q", " ", other[at : at + 1] + "z")) + other[at + 1 :]
+        pairs.append(sorted((line, other), key=len))
+    lines = [(2 * i + k, line, len(line), 0) for i, pair in enumerate(pairs) for k, line in enumerate(pair)]
+    some = spark.createDataFrame(lines, "k long, line string, length int, s long")
+    by = {}
+    for r in line_dedup.keys(some, max_edits).collect():
+        assert r["x"] // 2 == len(pairs[r["k"] // 2][r["k"] % 2])
+        by.setdefault(r["k"], []).append((r["h"], r["x"] % 2))
+    for i, (a, b) in enumerate(pairs):
+        t = min(max_edits, len(a) // 10)
+        if t and distance(a, b) <= t:
+            assert {h for h, own in by[2 * i] if own} & {h for h, _ in by[2 * i + 1]}, (a, b)
+        assert sum(own for _, own in by.get(2 * i, [])) == (t + 1 if t else 0)
+    if max_edits == 2:
+        words = [" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(20, 70))) for _ in range(500)]
+        some = spark.createDataFrame([(i, w, len(w), 0) for i, w in enumerate(words)], "k long, line string, length int, s long")
+        assert line_dedup.keys(some, 2).count() < 5 * len(words)
+
+
+def test_lines_are_trimmed_of_ascii_spaces_only(spark):
+    texts = [a + "x y" + b for a in ("", " ", "\t ", "\r", "\x0b", "\x0c", "\xa0", "　 ") for b in ("", " ", " \t", "\r", "\x0b", "\x0c", "\xa0 ", "\x1c")] + [" ", "\t\r", ""]
+    found = {r["id"]: r["line"] for r in line_dedup.lines(documents(spark, texts)).collect()}
+    assert found == {i: t.strip(" \t\r\x0b\x0c") for i, t in enumerate(texts)}
