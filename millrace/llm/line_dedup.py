@@ -22,8 +22,10 @@ from millrace.llm.common import HOT_SHARE, as_table, materialize, spread_join
 
 #: A line allows one edit for each so many code points, up to MAX_EDITS.
 CODE_POINTS_AN_EDIT, MAX_EDITS = 10, 2
-#: Their counts, modulo 16, make up a line's sketch.
+#: Their counts, modulo 8, make up a line's sketch, in four bits each that stand for a count so that two codes differ in as many
+#: bits as the counts are apart, round the circle: 0000, 0001, 0011, 0111, 1111, 1110, 1100, 1000.
 LETTERS = "entairsodhlucmg"
+CODES = sum(code << 4 * count for count, code in enumerate((0, 1, 3, 7, 15, 14, 12, 8)))
 #: Lines of up to so many code points are sketched at once; longer ones, whose segments rule out most others,
 #: where they meet more than CROWD others on a segment.
 SKETCHED, CROWD = 96, 64
@@ -33,6 +35,8 @@ SKIPPED = 16
 BLOCK = 1 << 10
 #: At most so many rows (one to four longs) are broadcast; more are joined by a shuffle.
 MAX_BROADCAST = 1 << 19
+#: Bits of the bitmap that is broadcast in place of more ids (8 MB), and words of 64 bits in a row of it.
+BITS, WORDS_A_ROW = 1 << 26, 1 << 9
 
 
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -136,18 +140,16 @@ def sketch(line: Column) -> Column:
     out = F.lit(1 << 60)
     for k, letter in enumerate(LETTERS):
         count = F.length(line) - F.length(F.replace(line, F.lit(letter), F.lit("")))
-        out = out.bitwiseOR(F.shiftleft(count.bitwiseAND(15).cast("long"), 4 * k))
+        code = F.call_function("shiftright", F.lit(CODES), count.bitwiseAND(7) * 4).bitwiseAND(15)
+        out = out.bitwiseOR(F.shiftleft(code.cast("long"), 4 * k))
     return out
 
 
 def _alike(a: Column, b: Column, short: Column, long: Column, max_edits: int) -> Column:
     """No edit changes the letter counts by more than two in all, and as many as the lengths ``short`` and
-    ``long`` differ by change them by one only (exact for up to four edits)."""
-    total = F.lit(0)
-    for k in range(len(LETTERS)):
-        x, y = (F.shiftrightunsigned(c, 4 * k).bitwiseAND(15).cast("int") for c in (a, b))
-        total = total + F.least((x - y).bitwiseAND(15), (y - x).bitwiseAND(15))
-    return (a == 0) | (b == 0) | (total <= 2 * edits(short, max_edits) - (long - short))
+    ``long`` differ by change them by one only. Sketches differ in no more bits than the counts do. This is asked of each pair that
+    meets, so it must stay short: a condition of letter by letter was too long a method for the compiler."""
+    return (a == 0) | (b == 0) | (F.bit_count(a.bitwiseXOR(b)) <= 2 * edits(short, max_edits) - (long - short))
 
 
 def _shared_prefix(a: Column, b: Column) -> Column:
@@ -219,10 +221,29 @@ def classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return materialize(one.groupBy("k1", "k2").agg(F.min(F.struct("id", "line_no")).alias("first"), F.count("*").alias("n")))
 
 
+def _maybe_of(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows whose ``key``, a hash, has a bit in a bitmap of ``ids`` (id): all that are among them and, of a million ids, one in
+    60 or so of the others. The bitmap's size does not depend on the ids."""
+
+    def word(c: Column) -> Column:
+        return F.shiftright(c.bitwiseAND(BITS - 1), 6)
+
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("id").bitwiseAND(63).cast("int"))
+    none = ids.sparkSession.range(BITS // 64).select("id", F.lit(0).cast("long"))
+    words = ids.select(word(F.col("id")).alias("word"), bit.alias("bits")).union(none).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    bitmap = words.groupBy(F.floor(F.col("word") / WORDS_A_ROW).alias("row")).agg(F.sort_array(F.collect_list(F.struct("word", "bits")))["bits"].alias("bits"))
+    at = word(F.col(key))
+    bits = F.get("bits", at.bitwiseAND(WORDS_A_ROW - 1).cast("int"))
+    there = F.call_function("shiftright", bits, F.col(key).bitwiseAND(63).cast("int")).bitwiseAND(1) == 1
+    return rows.join(F.broadcast(bitmap), (F.floor(at / WORDS_A_ROW) == F.col("row")) & there, "left_semi")
+
+
 def _of(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """The rows whose ``key`` is among ``ids`` (id; materialized), without a shuffle where those are few."""
-    small = ids.count() <= MAX_BROADCAST
-    return rows.join(F.broadcast(ids) if small else ids, rows[key] == ids["id"], "left_semi")
+    """The rows whose ``key`` is among ``ids`` (id; materialized), without a shuffle where those are few, else with one of little
+    more than these rows."""
+    few = ids.count() <= MAX_BROADCAST
+    rows = rows if few else _maybe_of(rows, ids, key)
+    return rows.join(F.broadcast(ids) if few else ids, rows[key] == ids["id"], "left_semi")
 
 
 def meetings(some: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
@@ -241,15 +262,17 @@ def meetings(some: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
 
 def meeting_pairs(met: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
     """(a, b) for each segment of a that b holds, a the shorter, or the lesser of two that are equally long:
-    those find each other from either side. From ``meetings``. A hash with many members is dealt out in blocks
-    of BLOCK, each of which meets all of its members."""
+    those find each other from either side. From ``meetings``. A member is set beside those of the few lengths that it can match
+    only: a segment's members are of many. A hash with many members is dealt out in blocks of BLOCK, each of which meets all of
+    its members."""
     blocks = F.ceil(F.col("c") / BLOCK).cast("int")
-    index = met.where("x % 2 = 1").select("h", F.col("k").alias("a"), F.col("s").alias("sa"), F.col("x").alias("xa"), F.pmod(F.xxhash64("k"), blocks).cast("int").alias("part"))
-    probe = met.select(F.col("h").alias("ph"), F.col("k").alias("b"), F.col("s").alias("sb"), F.col("x").alias("xb"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("at"))
-    na, nb = F.shiftright("xa", 1), F.shiftright("xb", 1)
-    fits = (nb - na).between(0, max_edits) & ((na < nb) & (F.col("a") != F.col("b")) | (F.col("a") < F.col("b")))
-    pairs = index.join(probe, (F.col("h") == F.col("ph")) & (F.col("part") == F.col("at")) & fits & _alike(F.col("sa"), F.col("sb"), na, nb, max_edits))
-    return pairs.select("a", "b")
+    length, na, nb = F.shiftright("x", 1), F.col("na"), F.col("nb")
+    index = met.where("x % 2 = 1").select("h", F.col("k").alias("a"), F.col("s").alias("sa"), length.alias("na"), F.pmod(F.xxhash64("k"), blocks).cast("int").alias("part"))
+    index = index.select("*", F.explode(F.sequence(na, na + edits(na, max_edits))).alias("other"))
+    probe = met.select(F.col("h").alias("ph"), F.col("k").alias("b"), F.col("s").alias("sb"), length.alias("nb"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("at"))
+    meet = (F.col("h") == F.col("ph")) & (F.col("part") == F.col("at")) & (F.col("other") == nb)
+    once = (na < nb) & (F.col("a") != F.col("b")) | (F.col("a") < F.col("b"))
+    return index.join(probe, meet & once & _alike(F.col("sa"), F.col("sb"), na, nb, max_edits)).select("a", "b")
 
 
 def candidates(met: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:

@@ -743,6 +743,70 @@ def test_lines_have_few_keys_and_lose_no_pair(spark, max_edits):
         assert line_dedup.keys(some, 2).count() < 5 * len(words)
 
 
+def test_what_pairs_of_lines_are_asked_is_compiled(spark):
+    """The virtual machine interprets methods of over 8,000 bytes, which made a pair of lines cost five microseconds."""
+    held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        met = spark.createDataFrame([(1, 2, 3, 60, 2), (1, 3, 5, 61, 2)], "h long, k long, s long, x long, c long")
+        stages = line_dedup.meeting_pairs(met)._jdf.queryExecution().debug().codegenToSeq()
+        assert 0 < max(stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())) < 8000
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
+def test_lines_are_compared_with_those_of_lengths_they_can_match_only(spark):
+    """Before, the members of a segment were all compared with each other, whatever their lengths."""
+    # of each of 40 lengths 5 lines, all on one segment, with sketches that rule out nothing
+    met = spark.createDataFrame([(7, 100 * n + i, 0, 2 * n + 1, 200) for n in range(100, 140) for i in range(5)], "h long, k long, s long, x long, c long")
+    rows = line_dedup.meeting_pairs(met)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "(other#" in plan.split("Join Inner", 1)[1].split("\n", 1)[0]
+    assert rows.count() == rows.distinct().count() == 40 * 10 + 39 * 25 + 38 * 25
+
+
+def test_sketches_of_lines_lose_no_pair(spark):
+    """Sketches differ in as many bits as the letter counts do round a circle of eight, and lines within the allowed edits pass."""
+    rng = random.Random(17)
+    pairs = []
+    for _ in range(300):
+        line = "".join(rng.choice(rng.choice(("e", "entairsodhlucmg", "xyz é😀"))) for _ in range(rng.randint(10, 80)))
+        other = edited(rng, line, rng.choice((1, 2, 2, 9)))
+        pairs.append(tuple(sorted((line, other), key=len)))
+    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, short string, long string")
+    a, b = (line_dedup.sketch(F.col(c)) for c in ("short", "long"))
+    rows = rows.withColumns({"a": a, "b": b}).withColumn("bits", F.bit_count(F.col("a").bitwiseXOR(F.col("b"))))
+    rows = rows.withColumn("passes", line_dedup._alike(F.col("a"), F.col("b"), F.length("short"), F.length("long"), 2))
+    kept = 0
+    for r in rows.collect():
+        short, long = pairs[r["i"]]
+        apart = [abs(short.count(x) % 8 - long.count(x) % 8) for x in line_dedup.LETTERS]
+        assert r["bits"] == sum(min(x, 8 - x) for x in apart) and r["a"] > 0 and r["b"] > 0
+        near = distance(short, long) <= min(2, len(short) // 10)
+        assert r["passes"] or not near
+        kept += near
+    assert 100 < kept < 300 and rows.where("not passes").count() > 20
+
+
+def test_texts_of_many_lines_are_fetched_without_moving_the_others(spark, monkeypatch):
+    """Over MAX_BROADCAST ids, all texts were shuffled before."""
+    rng = random.Random(19)
+    known = [rng.getrandbits(64) - (1 << 63) for _ in range(4000)]
+    rows = spark.createDataFrame([(k, f"line {k}") for k in known] * 2, "k1 long, line string")
+    ids = spark.createDataFrame([(k,) for k in [*known[:300], 0, -1, (1 << 63) - 1]], "id long")
+    few = sorted(tuple(r) for r in line_dedup._of(rows, ids, "k1").collect())
+    assert [k for k, _ in few] == sorted(known[:300] * 2)
+    maybe = line_dedup._maybe_of(rows, ids, "k1")
+    assert 600 <= maybe.count() < 610
+    docs = documents(spark, ["one line of some length\nanother line of some length", "one line of some lengths\nanother line of same length", "else", None])
+    whole = sorted(map(str, line_dedup.duplicates(docs).collect()))
+    monkeypatch.setattr(line_dedup, "MAX_BROADCAST", 0)
+    assert sorted(tuple(r) for r in line_dedup._of(rows, ids, "k1").collect()) == few
+    assert sorted(map(str, line_dedup.duplicates(docs).collect())) == whole
+
+
 def test_lines_are_trimmed_of_ascii_spaces_only(spark):
     texts = [a + "x y" + b for a in ("", " ", "\t ", "\r", "\x0b", "\x0c", "\xa0", "　 ") for b in ("", " ", " \t", "\r", "\x0b", "\x0c", "\xa0 ", "\x1c")] + [" ", "\t\r", ""]
     found = {r["id"]: r["line"] for r in line_dedup.lines(documents(spark, texts)).collect()}
